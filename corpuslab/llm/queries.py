@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import mixing, sharding
+from corpuslab.llm import decontamination, mixing, near_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hypergeometric_sharding": sharding.query_shard,
+    "op4_hyperminhash_near_dedup": near_dedup.query_near_dedup,
+    "op6_prefix_filter_decontamination": decontamination.query_decontaminate,
     "op9_pareto_mixing": mixing.query_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_prefix_filter_decontamination": decontamination.ORACLE,
+}
