@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import decontamination, mixing, near_dedup, sharding
+from corpuslab.llm import decontamination, language_id, mixing, near_dedup, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_attention_quality": quality.query_quality,
     "op3_hypergeometric_sharding": sharding.query_shard,
     "op4_hyperminhash_near_dedup": near_dedup.query_near_dedup,
+    "op5_cross_parsing_language": language_id.query_language,
     "op6_prefix_filter_decontamination": decontamination.query_decontaminate,
     "op9_pareto_mixing": mixing.query_mix,
 }
