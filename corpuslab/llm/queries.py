@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import decontamination, embedding_dedup, language_id, mixing, near_dedup, quality, sharding
+from corpuslab.llm import decontamination, embedding_dedup, language_id, licenses, mixing, near_dedup, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_quality": quality.query_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_cross_parsing_language": language_id.query_language,
     "op6_prefix_filter_decontamination": decontamination.query_decontaminate,
     "op7_pigeonhole_near_vectors": embedding_dedup.query_near_vectors,
+    "op8_winnowed_licenses": licenses.query_licenses,
     "op9_pareto_mixing": mixing.query_mix,
 }
 
