@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import decontamination, embedding_dedup, language_id, licenses, mixing, near_dedup, quality, sharding
+from corpuslab.llm import decontamination, embedding_dedup, html_extraction, language_id, licenses, mixing, near_dedup, quality, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_quality": quality.query_quality,
+    "op2_tree_html": html_extraction.query_main_text,
     "op3_hypergeometric_sharding": sharding.query_shard,
     "op4_hyperminhash_near_dedup": near_dedup.query_near_dedup,
     "op5_cross_parsing_language": language_id.query_language,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pigeonhole_near_vectors": embedding_dedup.query_near_vectors,
     "op8_winnowed_licenses": licenses.query_licenses,
     "op9_pareto_mixing": mixing.query_mix,
+    "op10_induced_sorting_repeats": substring_dedup.query_remove_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
