@@ -1,8 +1,71 @@
-"""A corpus pipeline of the training-data operators; each stage is written as Parquet and read by the next."""
+"""A corpus pipeline of the training-data operators: five stages over the documents.
 
-STAGES = []
+Each stage is written as Parquet to the shared folder and read again by the next one. All but the last return the
+columns of the documents they were given; the last adds the shard and the slot.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslab.llm import decontamination, mixing, near_dedup, quality, sharding
+from corpuslab.llm.staging import free_names, staged
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score 0.5 or more); a third of the labels is held out from learning."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    model = quality.learn(docs, labels)
+    (score,) = free_names(docs, "quality_score")
+    scored = quality.classify(docs, model, carry=docs.columns, column=score)
+    return scored.where(F.col(score) >= 0.5).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Documents without words have no shingles and stay; of rows with the same id one stays as often as it is there."""
+    found = near_dedup.near_duplicates(docs)
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any ten-word window of a benchmark item."""
+    (hits,) = free_names(docs, "n_hit")
+    out = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
+    return out.where(F.col(hits) == 0).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed to their target weights; a document may come twice or not at all."""
+    return mixing.mix(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Eight shards in a uniformly random order, sizes at most one apart."""
+    return sharding.shard(docs, 8)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("source_mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+#: A learned score, similarity search and random draws have no SQL twin; tests compare with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

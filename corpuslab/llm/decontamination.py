@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
-from corpuslab.llm.staging import free_names
+from corpuslab.llm.staging import free_names, with_body
 
 SHINGLE = 3
 #: UTF-8 bytes of benchmark text in one block: what is sent to an executor at a time is some ten times that.
@@ -135,10 +135,10 @@ def _count(shared: Broadcast, text: str):
     return run
 
 
-def _hits(shared: list[Broadcast], text: str, window: int):
+def _hits(shared: list[Broadcast], n_carry: int, window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.column_bytes(batch.column(batch.schema.get_field_index(text)))
+            data, offsets = K.column_bytes(batch.column(n_carry))
             n_words, n_hit, spans, items = [], [], [], []
             for first, last in K.slices(offsets):
                 own = offsets[first : last + 1]
@@ -183,11 +183,9 @@ def _hits(shared: list[Broadcast], text: str, window: int):
                     inside = np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))
                     n_hit.append(int(hit[a:b].sum()))
                     spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(inside == 1), np.flatnonzero(inside == -1), strict=True)])
-            keep = [i for i, name in enumerate(batch.schema.names) if name != text]
             extra = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + extra, [batch.schema.names[i] for i in keep] + list(run.names))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_carry)] + extra, names)
 
-    run.names = ()
     return run
 
 
@@ -212,13 +210,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         first.destroy()
         block.order_by_rarity(counts)
         shared.append(spark.sparkContext.broadcast(block))
-    rows = docs.select(*carry, text)
     names = free_names(docs.select(*carry), "n_words", "n_hit", "items", "hit_spans")
-    run = _hits(shared, text, window)
-    run.names = names
     kinds = ("bigint", "bigint", "array<bigint>", "array<struct<start:bigint,end:bigint>>")
-    schema = rows.select(*carry, *[F.lit(None).cast(kind).alias(name) for name, kind in zip(names, kinds, strict=True)]).schema
-    return rows.mapInArrow(run, schema)
+    schema = docs.select(*carry, *[F.lit(None).cast(kind).alias(name) for name, kind in zip(names, kinds, strict=True)]).schema
+    return with_body(docs, carry, text).mapInArrow(_hits(shared, len(carry), window, schema.names), schema)
 
 
 def query_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

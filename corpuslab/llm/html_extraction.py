@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.llm.staging import with_body
+
 #: Deeper elements join the tree at this depth; their text is kept.
 MAX_DEPTH = 64
 PAGES_AT_ONCE = 200
@@ -386,8 +388,8 @@ def extract(pages: DataFrame, html_col: str = "html", carry: list[str] | None =
     repeated rows get the same text; columns named ``text`` or ``n_chars`` are replaced.
     """
     carry = [c for c in pages.columns if c not in (html_col, "text", "n_chars")] if carry is None else carry
-    rows = pages.select(*carry, html_col)
-    schema = rows.select(*carry, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    rows = with_body(pages, carry, html_col)
+    schema = pages.select(*[f"`{c}`" for c in carry], F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     return rows.mapInArrow(_extract(shared, len(carry), schema.names), schema)
 

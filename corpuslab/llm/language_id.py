@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
+from corpuslab.llm.staging import with_body
 
 SEGMENT = 256
 #: The labelled sample: at most so many documents of a language, and of these at most so many symbols.
@@ -181,8 +182,8 @@ def identify(docs: DataFrame, parser: Parser, text: str = "text", carry: list[st
     Ties go to the first language by name; repeated rows get the same answer; an empty table gives an empty result.
     """
     carry = [c for c in docs.columns if c not in (text, "lang_pred", "score")] if carry is None else carry
-    rows = docs.select(*carry, text)
-    schema = rows.select(*carry, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    rows = with_body(docs, carry, text)
+    schema = docs.select(*[f"`{c}`" for c in carry], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(parser), len(carry), schema.names), schema)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
+from corpuslab.llm.staging import with_body
 
 RUN, WINDOW = 3, 4
 
@@ -165,9 +166,9 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, te
     texts have none; repeated rows get the same answer.
     """
     carry = [c for c in docs.columns if c not in (text, column)] if carry is None else carry
-    rows = docs.select(*carry, text)
+    rows = with_body(docs, carry, text)
     kind = "array<struct<license:string,start:bigint,end:bigint,matched:bigint,coverage:double>>"
-    schema = rows.select(*carry, F.lit(None).cast(kind).alias(column)).schema
+    schema = docs.select(*[f"`{c}`" for c in carry], F.lit(None).cast(kind).alias(column)).schema
     span = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())]))
     return rows.mapInArrow(_scan(Index(templates or TEMPLATES), least, len(carry), schema.names, span), schema)
 

@@ -128,9 +128,10 @@ def copies(rows: DataFrame, light: DataFrame, share: float = 1.5, weights: tuple
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), cap: float = 2.0, seed: int = 29) -> DataFrame:
     """The mixed corpus: every document repeated as often as the mix takes it, with the columns it had."""
-    rows = sized(docs, seed=seed)
+    packed = docs.select("doc_id", "text", "source", F.struct(*[f"`{c}`" for c in docs.columns]).alias("mix_row"))  # no name of the documents clashes
+    rows = sized(packed, seed=seed).drop("doc_id", "text")
     light = staged(rows.select("source", "mix_size", "mix_class", "mix_draw"), "mix-light")
-    return copies(rows, light, share, weights, cap).where("mix_copies > 0").withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    return copies(rows, light, share, weights, cap).where("mix_copies > 0").withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("mix_row.*")
 
 
 def query_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

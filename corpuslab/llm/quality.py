@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
+from corpuslab.llm.staging import with_body
 
 PASSAGE = 64
 #: Bound of the labelled sample.
@@ -166,8 +167,8 @@ def _score(shared, n_carry: int, names: list[str]):
 def classify(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None, column: str = "score") -> DataFrame:
     """The ``carry`` columns (default: all but the text) with ``score`` from 0 to 1 in ``column``; empty and null texts are one empty passage."""
     carry = [c for c in docs.columns if c not in (text, column)] if carry is None else carry
-    rows = docs.select(*carry, F.col(text))
-    schema = rows.select(*carry, F.lit(0.0).alias(column)).schema
+    rows = with_body(docs, carry, text)
+    schema = docs.select(*[f"`{c}`" for c in carry], F.lit(0.0).alias(column)).schema
     return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), len(carry), schema.names), schema)
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +39,8 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def with_body(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
+    """The ``carry`` columns and, last and under a name of its own, the text, which ``carry`` may hold too."""
+    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias(free_names(docs, "body")[0]))

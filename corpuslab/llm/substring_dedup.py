@@ -146,10 +146,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     """
     gram = gram or length * 2 // 5
     carry = [c for c in docs.columns if c != text] if carry is None else carry
-    key, runs, word = free_names(docs, "key", "runs", "word")
-    body = F.coalesce(F.col(text), F.lit(""))
+    key, runs, word, mask, whole = free_names(docs, "key", "runs", "word", "mask", "whole")
     # Equal rows share a key: what one of them loses, all lose.
-    keyed = docs.withColumn(text, body).withColumn(key, F.xxhash64(*[F.col(c) for c in carry if not dict(docs.dtypes)[c].startswith("map")], text))
+    hashed = [c for c in carry if "map<" not in dict(docs.dtypes)[c]]
+    keyed = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias(whole)).withColumn(key, F.xxhash64(*hashed, whole))
+    text = whole
     spark = docs.sparkSession
     found = keyed.where(F.octet_length(text) >= length).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_anchors(length, gram), "key bigint, first bigint, reach smallint, ahead smallint, anchor bigint, context bigint")
     found = staged(found, "sub-anchors")
@@ -165,10 +166,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     words = min(FILTER_WORDS[1], max(FILTER_WORDS[0], 1 << (n_keys // 4).bit_length()))
     bits = lambda k: F.expr(f"shiftleft(1L, cast(({k} >> 20) & 63 as int)) | shiftleft(1L, cast(({k} >> 26) & 63 as int))")
     sieve = found.select(F.pmod("key", F.lit(words)).alias("word"), bits("key").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("mask"))
-    sieve = F.broadcast(staged(sieve, "sub-sieve").select(F.col("word").alias(word), F.col("mask")))
+    sieve = F.broadcast(staged(sieve, "sub-sieve").select(F.col("word").alias(word), F.col("mask").alias(mask)))
     sifted = keyed.withColumn(word, F.pmod(F.col(key), F.lit(words)))
-    inside = (F.col("mask").bitwiseAND(bits(key)) == bits(key))
-    maybe = sifted.join(sieve, word).where(inside).drop(word, "mask")
+    inside = F.col(mask).bitwiseAND(bits(key)) == bits(key)
+    maybe = sifted.join(sieve, word).where(inside).drop(word, mask)
 
     by_key = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "context", "first", "reach")).alias("wanted"))
     pieces = maybe.select(F.col(key).alias("key"), F.col(text).alias("text")).join(by_key, "key").select("text", "wanted").mapInArrow(_cut(length), "anchor bigint, context bigint, piece binary")
@@ -190,8 +191,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
     touched = touched.select(*carry, text, F.coalesce(runs, none).alias(runs)).mapInArrow(_remove(length, len(carry), schema.names, with_text), schema)
     clean = sifted.join(sieve, word, "left").where(~F.coalesce(inside, F.lit(False)))
-    whole = [F.octet_length(text).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.sha2(F.col(text).cast("binary"), 256), F.col(text)]
-    return touched.union(clean.select(*carry, *[c.alias(name) for name, c in zip(names, whole, strict=False)]))
+    uncut = [F.octet_length(text).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.sha2(F.col(text).cast("binary"), 256), F.col(text)]
+    return touched.union(clean.select(*carry, *[c.alias(name) for name, c in zip(names, uncut, strict=False)]))
 
 
 def query_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
