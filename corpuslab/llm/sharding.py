@@ -69,27 +69,30 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, blo
     """Add ``shard`` (int, from 0) and ``slot`` (bigint, gapless from 0 within the shard) to every row.
 
     Shard sizes differ by one at most. ``keys`` (default: every column that can be hashed) identify a row; rows equal
-    in all keys are interchangeable. Nulls, empty and very long texts are hashed as they are; an empty table gives an
+    in all keys are numbered and placed independently. Nulls, empty and very long texts are hashed as they are; an empty table gives an
     empty result; existing columns named ``shard`` or ``slot`` are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
     keys = keys or [c for c, kind in docs.dtypes if "map<" not in kind and kind not in ("variant", "void")]
     blocks = min(blocks or max(64, parallelism(spark)), MATRIX_CELLS // n_shards)
-    block, rank, cuts, group, within, base = free_names(docs, "block", "rank", "cuts", "group", "within", "base")
+    block, row, copy, rank, cuts, group, within, base = free_names(docs, "block", "row", "copy", "rank", "cuts", "group", "within", "base")
 
     def draw(salt: int) -> Column:
-        return F.xxhash64(F.lit(seed * 1000 + salt), *[F.col(f"`{c}`") for c in keys])
+        return F.xxhash64(F.lit(seed * 1000 + salt), row, copy)
 
-    dealt = docs.withColumn(block, F.pmod(draw(1), F.lit(blocks)).cast("int"))
+    # How rows come into blocks does not matter for a uniform shuffle; a hash of the row deals them evenly, and again alike.
+    dealt = docs.withColumn(row, F.xxhash64(F.lit(seed), *[f"`{c}`" for c in keys])).withColumn(block, F.pmod(row, F.lit(blocks)).cast("int"))
     counted = {r[0]: r[1] for r in dealt.groupBy(block).count().collect()}
     sizes = [counted.get(b, 0) for b in range(blocks)]
     matrix = communication_matrix(sizes, n_shards, seed)
-    edges = small_table(spark, [{"b": b, "c": np.cumsum(row).tolist()} for b, row in enumerate(matrix)], "b int, c array<bigint>")
+    edges = small_table(spark, [{"b": b, "c": np.cumsum(line).tolist()} for b, line in enumerate(matrix)], "b int, c array<bigint>")
     edges = edges.select(F.col("b").alias(block), F.col("c").alias(cuts))
 
+    # Equal rows are numbered within their block, so that each gets a place of its own.
+    numbered = dealt.repartition(block).withColumn(copy, F.row_number().over(Window.partitionBy(block, row).orderBy(row)))
     local = Window.partitionBy(block).orderBy(draw(2), draw(3))
-    placed = dealt.withColumn(rank, F.row_number().over(local) - 1).join(F.broadcast(edges), block)
+    placed = numbered.withColumn(rank, F.row_number().over(local) - 1).join(F.broadcast(edges), block)
     placed = placed.withColumn("shard", F.expr(f"size(filter({cuts}, c -> c <= {rank}))").cast("int")).drop(rank, cuts, block)
 
     # The second permutation: each shard is cut into hash groups, whose counts give the first slot of each group.
