@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.staging import staged
 
+#: Up to so many edges (16 bytes each) a step runs in one task, which saves its shuffles; above, it is distributed.
+ONE_TASK = 200_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over undirected ``edges`` (a, b), a != b; minima combine before the shuffle, so a hub costs no task its neighbours."""
@@ -27,9 +30,10 @@ def connected_components(edges: DataFrame, name: str = "components", most_steps:
     folder, so lineage stays short and a lost executor repeats one step at most.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    small = edges.count() <= ONE_TASK
     before = None
     for _ in range(most_steps):
-        edges = staged(_star(_star(edges, True), False), name)
+        edges = staged(_star(_star(edges.coalesce(1) if small else edges, True), False), name)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
