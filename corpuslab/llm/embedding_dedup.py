@@ -139,11 +139,11 @@ class _Task:
                 continue
             near = near[np.ix_(left, right)]
             linked = near & (unit[0][a + left] @ unit[1][right].T >= self.least)
-            if self.block > 0:  # counted in the first block that joins the pair
+            if self.block >= 0:  # counted in the first block that joins the pair
                 i, k = np.nonzero(linked)
-                apart = ((turned[0][a + left[i]] - turned[1][right[k]]).reshape(len(i), blocks, BLOCK)[:, : self.block] ** 2).sum(2)
-                earlier = (apart <= budget).any(1)
-                linked[i[earlier], k[earlier]] = False
+                apart = ((turned[0][a + left[i]] - turned[1][right[k]]).reshape(len(i), blocks, BLOCK)[:, : self.block + 1] ** 2).sum(2)
+                other = (apart[:, :-1] <= budget).any(1) | (apart[:, -1] > budget)
+                linked[i[other], k[other]] = False
             links[a + left] += linked @ weight[1][right]
             # One edge a node: the lowest label that reaches it, repeated until nothing changes.
             low_left, low_right = node[0][a + left].copy(), node[1][right].copy()
