@@ -21,8 +21,8 @@ from corpuslab.llm import kernels as K
 from corpuslab.llm.staging import with_body
 
 PASSAGE = 64
-#: Bound of the labelled sample.
-SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 1500, 24
+#: Bound of the labelled sample; up to 1000 a label Spark limits the groups before it shuffles them.
+SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 1000, 24
 HASHED, HIDDEN, GATE = 32, 16, 8
 _CLASSES = ["lower", "upper", "digit", "newline", "space", "high", "stop", "comma", "bang", "bar", "hyphen", "quote", "mark", "bracket", "slash", "other"]
 _CLASS = np.full(256, 15, np.uint8)
@@ -39,7 +39,7 @@ def encode(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((total, FEATURES), np.float32)
     row_of = np.repeat(np.arange(words.rows), words.count)
     of = bounds[row_of] + (np.arange(n_words) - words.bounds[row_of]) // PASSAGE
-    if n_words:
+    if len(words.data):
         # A byte belongs to the passage of the last word that began before it (in its row).
         mark = np.zeros(len(words.data) + 1, np.int64)
         begin = bounds[:-1][np.diff(words.offsets) > 0]
@@ -50,10 +50,12 @@ def encode(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
         counts = np.bincount(byte_of * 16 + _CLASS[words.data], minlength=total * 16)[: total * 16].reshape(total, 16)
         size = np.maximum(1, counts.sum(1, keepdims=True))
         out[:, :16] = counts / size
-        n = np.maximum(1, np.bincount(of, minlength=total))
+    if n_words:
+        count = np.bincount(of, minlength=total)
+        n = np.maximum(1, count)
         length = words.end - words.start
         mean = np.bincount(of, length, minlength=total) / n
-        out[:, 16] = np.log1p(n) / 5
+        out[:, 16] = np.log1p(count) / 5
         out[:, 17] = mean / 10
         out[:, 18] = np.sqrt(np.maximum(0, np.bincount(of, length.astype(float) ** 2, minlength=total) / n - mean**2)) / 10
         tagged = np.sort(K.mix(words.hash ^ K.mix(of.astype(np.uint64))) >> np.uint64(20) | of.astype(np.uint64) << np.uint64(44))
