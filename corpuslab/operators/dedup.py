@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import hashing as H
@@ -50,6 +50,7 @@ def cascade(df: DataFrame, key: Column, known: list[tuple[str, DataFrame]], *ord
     for i, (name, keys) in enumerate(known):
         out = out.join(keys.select(F.col(keys.columns[0]).alias("_k"), F.lit(True).alias(f"_in{i}")).distinct(), "_k", "left")
         reasons.append(F.when(F.col(f"_in{i}"), name))
-    later = F.row_number().over(Window.partitionBy("_k").orderBy(*order)) > 1
-    out = out.withColumn("_later", later)
-    return out.withColumn("reason", F.coalesce(*reasons, F.when(F.col("_later"), "duplicate"), F.lit("kept"))).drop("_k", "_later", *[f"_in{i}" for i in range(len(known))])
+    # The first row of a key by an aggregate, not a window: a hot key costs a row a task, and the join back is split by AQE.
+    first = df.select(key.alias("_k"), F.struct(*order).alias("_o")).groupBy("_k").agg(F.min("_o").alias("_first"))
+    out = out.join(first, "_k", "left").withColumn("_later", F.struct(*order) != F.col("_first"))
+    return out.withColumn("reason", F.coalesce(*reasons, F.when(F.col("_later"), "duplicate"), F.lit("kept"))).drop("_k", "_later", "_first", *[f"_in{i}" for i in range(len(known))])

@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from corpuslab.functions import hashing as H
 
 
+def hash_rank(df: DataFrame, by: list[str], seed: str, id_col: str, name: str = "rank") -> DataFrame:
+    """Rank of each row in the hash order of its stratum.
+
+    Rows are ranked within (stratum, leading digits of the hash); counts of the smaller groups are added. So a stratum
+    with a third of all rows is ranked by many tasks."""
+    keyed = df.withColumn("_key", H.md5_order(seed, F.col(id_col))).withColumn("_group", F.left("_key", F.lit(3)))
+    ahead = Window.partitionBy(*by).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(*by, "_group").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_group").alias("_g"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy(*by, "_group").orderBy("_key"))
+    on = F.col("_group") == F.col("_g")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return keyed.withColumn("_own", own).join(counts, on).withColumn(name, F.col("_own") + F.col("_ahead")).select(*df.columns, name)
+
+
 def capped(df: DataFrame, by: str, n: int, seed: str, id_col: str, repeat: int = 1) -> DataFrame:
     """At most ``n`` rows of each stratum in hash order, each ``repeat`` times (``copy`` from 1).
 
@@ -19,9 +35,11 @@ def capped(df: DataFrame, by: str, n: int, seed: str, id_col: str, repeat: int =
 
 def share_of_stratum(df: DataFrame, by: list[str], share: float, seed: str, id_col: str) -> DataFrame:
     """``round(share * n)`` rows of each stratum in hash order."""
-    w = Window.partitionBy(*by)
-    out = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy(H.md5_order(seed, F.col(id_col)))))
-    return out.where(F.col("rank") <= F.round(F.col("_n") * share)).drop("_n")
+    limits = df.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.round(F.count(F.lit(1)) * share).alias("_limit"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return hash_rank(df, by, seed, id_col).join(limits, on).where(F.col("rank") <= F.col("_limit")).select(*df.columns, "rank")
 
 
 def weighted_order(df: DataFrame, weight: Column, seed: str, id_col: str, by: str, n: int) -> DataFrame:
@@ -33,8 +51,7 @@ def weighted_order(df: DataFrame, weight: Column, seed: str, id_col: str, by: st
 
 def batches(df: DataFrame, size: int, seed: str, id_col: str, partition: str) -> DataFrame:
     """Review batches in hash order within each ``partition`` (``batch`` from 0)."""
-    w = Window.partitionBy(partition).orderBy(H.md5_order(seed, F.col(id_col)))
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    return hash_rank(df, [partition], seed, id_col, "_rank").withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("int")).drop("_rank")
 
 
 def passes(df: DataFrame, n: int, seed: str, id_col: str) -> DataFrame:
