@@ -53,3 +53,18 @@ def suggest(rare: DataFrame, frequent: DataFrame) -> DataFrame:
     """(word, suggestion, n): the most frequent neighbour, ties by the word."""
     best = F.min_by(F.struct("suggestion", "n"), F.struct(-F.col("n"), "suggestion"))
     return one_edit_pairs(rare, frequent).groupBy("word").agg(best.alias("b")).select("word", "b.suggestion", "b.n")
+
+
+def dehyphenated(lines: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines (keys, line_no, line) with the halves of words cut at a line's end put together where the whole is known, and
+    with the hyphen kept where it is not; the second half leaves its line."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy("line_no")
+    head, tail = F.regexp_extract("line", r"(\p{L}+)-$", 1), F.regexp_extract(F.lead("line").over(w), r"^(\p{Ll}+)", 1)
+    rows = lines.withColumns({"_head": head, "_tail": tail}).withColumn("_cut", (F.col("_head") != "") & (F.coalesce("_tail", F.lit("")) != ""))
+    known = lexicon.select(F.col("word").alias("_word")).distinct().withColumn("_known", F.lit(True))
+    rows = rows.join(known, F.lower(F.concat("_head", "_tail")) == F.col("_word"), "left")
+    whole = F.concat(F.regexp_replace("line", r"-$", F.lit("")), F.when(F.col("_known"), "").otherwise("-"), F.col("_tail"))
+    rows = rows.withColumn("line", F.when(F.col("_cut"), whole).otherwise(F.col("line"))).withColumn("_lost", F.lag(F.when(F.col("_cut"), F.length("_tail"))).over(w))
+    return rows.withColumn("line", F.when(F.col("_lost").isNotNull(), F.ltrim(F.expr("substring(line, _lost + 1)"))).otherwise(F.col("line"))).select(*lines.columns)

@@ -60,3 +60,22 @@ def fit_log_linear(table: DataFrame, features: list[str], events: str, exposure:
         if np.abs(step).max() < 1e-9:
             break
     return {("", ""): float(weights[0])} | {name: float(weights[k]) for name, k in index.items()}
+
+
+def noise_floor(counts: DataFrame, n: int, replicates: int, seed: str) -> DataFrame:
+    """(mean, p95) of the total variation between a distribution (value, n) and samples of ``n`` draws from it.
+
+    Draws are hash-derived uniforms against the cumulative shares, so that the floor is the same on every run."""
+    from pyspark.sql import Window
+
+    from corpuslab.functions import hashing as H
+
+    w = Window.partitionBy().orderBy("value")
+    shares = counts.select("value", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+    edges = shares.select("value", "share", F.sum("share").over(w).alias("_to")).withColumn("_from", F.col("_to") - F.col("share"))
+    draws = counts.sparkSession.range(replicates * n).select((F.col("id") % replicates).alias("r"), F.col("id").alias("k"))
+    draws = draws.withColumn("u", H.md5_uniform(seed, F.col("r"), F.col("k")))
+    hits = draws.join(F.broadcast(edges), (F.col("u") > F.col("_from")) & (F.col("u") <= F.col("_to"))).groupBy("r", "value").agg((F.count(F.lit(1)) / n).alias("q"))
+    grid = draws.select("r").distinct().join(F.broadcast(shares)).join(hits, ["r", "value"], "left")
+    tv = grid.groupBy("r").agg((0.5 * F.sum(F.abs(F.col("share") - F.coalesce("q", F.lit(0.0))))).alias("tv"))
+    return tv.agg(F.avg("tv").alias("mean"), F.percentile("tv", 0.95).alias("p95"))
