@@ -300,8 +300,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     sketch = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(_sketch(width, table), "id bigint, n bigint, node bigint, regs binary")
     sketch = staged(sketch, "near-sketch")
-    nodes = sketch.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "n", "regs")).alias("s"))
-    nodes = staged(nodes.select("node", "s.id", "s.n", "s.regs"), "near-nodes")
+    nodes = sketch.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("n", "regs")).alias("s"))
+    nodes = staged(nodes.select("node", "id", "s.n", "s.regs"), "near-nodes")
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("regs"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keyed = nodes.where("id is not null").select("node", F.explode(bands).alias("key"))

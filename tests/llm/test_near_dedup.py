@@ -81,6 +81,13 @@ def test_small_parts_change_nothing(spark, make_docs, monkeypatch):
     check(spark, make_docs, texts, 2)
 
 
+def test_null_ids_follow_their_text(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, words), (7, words), (5, words + " more"), (None, "alone here"), (9, None)]
+    out = N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2).collect()
+    assert sorted(((r["doc_id"] or -1), (r["component_id"] or -1)) for r in out) == [(-1, -1), (-1, 5), (5, 5), (7, 5), (9, 9)]
+
+
 def test_empty_table(spark, make_docs):
     assert N.near_duplicates(make_docs([])).count() == 0
 
