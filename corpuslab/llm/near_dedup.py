@@ -37,7 +37,7 @@ BANDS = BUCKETS // ROWS
 #: Five standard errors of the estimate from 256 registers, at its widest.
 MARGIN = 5 * 0.5 / BUCKETS**0.5
 #: Turns of star comparisons, and centres that a hub is compared with in each, before the exact last one.
-STAR_TURNS, STAR_CENTRES = 2, 4
+STAR_TURNS, STAR_CENTRES = 1, 4
 #: Members of a hub that one part of it holds.
 PART = 2000
 #: Hubs of a bucket that a task compares with one another at a time.
@@ -149,7 +149,7 @@ def _compare(width: int, table: np.ndarray, least: float):
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, table: np.ndarray, least: float, name: str) -> DataFrame:
     """``pairs`` (node, centre) that link, as (a, b, jaccard); texts: (node, regs, text)."""
-    parts = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    parts = staged(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "near-parts")  # so that joins with it can be split
     members = pairs.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
     members = members.join(texts, "node").select("centre", "part", F.lit(1).alias("role"), "node", "regs", "text")
     centres = parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("regs"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keyed = nodes.where("id is not null").select("node", F.explode(bands).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other").select("key", "centre")
+    shared = staged(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other").select("key", "centre"), "near-shared")
     met = staged(keyed.join(shared, "key"), "near-met")  # (key, node, centre) of buckets with two nodes or more
 
     votes = met.where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n"))
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if not open_keys:
             break
         # Per bucket one centre out of its largest component; each hub of another one is compared with the centres it meets most.
-        sizes = hubs.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        sizes = staged(hubs.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
         ranked = F.struct("size", F.xxhash64(F.lit(turn), "node", "key"), F.col("node").alias("centre"), F.col("component").alias("own"))
         heads = hubs.join(sizes, "component").groupBy("key").agg(F.max(ranked).alias("h")).select("key", "h.centre", "h.own")
         votes = hubs.select("key", "hub", "component").distinct().join(heads, "key").where("component <> own").groupBy("hub", "centre").agg(F.count(F.lit(1)).alias("n"))
@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     final = grouped
 
     least_id = nodes.select("node", "id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = least_id.groupBy("component").agg(F.min("id").alias("component_id"))
+    smallest = staged(least_id.groupBy("component").agg(F.min("id").alias("component_id")).where("component_id is not null"), "near-smallest")
     by_node = least_id.join(smallest, "component").select("node", "component_id")
     out = sketch.select("id", "n", "node").join(by_node, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
