@@ -217,7 +217,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embeddi
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")), "vec-groups")
     by_node = nodes.select("node", "id", "weight").join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = by_node.groupBy("component").agg(F.min("id").alias("component_id"))
+    lowest = staged(by_node.groupBy("component").agg(F.min("id").alias("component_id")), "vec-lowest")
     by_node = by_node.join(lowest, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.select("id", "node").join(by_node, "node", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
