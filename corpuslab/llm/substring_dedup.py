@@ -154,11 +154,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     spark = docs.sparkSession
     found = keyed.where(F.octet_length(text) >= length).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_anchors(length, gram), "key bigint, first bigint, reach smallint, ahead smallint, anchor bigint, context bigint")
     found = staged(found, "sub-anchors")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    twice = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "sub-twice")  # a written side lets AQE split the other
     found = staged(found.join(twice, "anchor"), "sub-repeated")
     contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "reach")).alias("copy"))
     contexts = staged(contexts, "sub-contexts")
     mixed = contexts.groupBy("anchor").agg(F.min("context").alias("x"), F.max("context").alias("y")).where("x < y").select("anchor")
+    mixed = staged(mixed, "sub-mixed")
     wanted = staged(contexts.join(mixed, "anchor").select("anchor", "context", F.col("copy.key").alias("key"), F.col("copy.first").alias("first"), F.col("copy.reach").cast("bigint").alias("reach")), "sub-wanted")
 
     # A Bloom filter of the documents with a repeated anchor, of bounded size: one word a key, two bits in it.
