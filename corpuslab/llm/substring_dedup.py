@@ -31,7 +31,7 @@ from corpuslab.llm.staging import free_names, parallelism, staged
 from corpuslab.llm.suffix_sort import repeated_starts, work_array
 
 #: Bytes of context that a shard should have on average, and of queues that a shard keeps in memory.
-SHARD_BYTES, QUEUE_BYTES = 4 << 20, 64 << 20
+SHARD_BYTES, QUEUE_BYTES = 3 << 19, 32 << 20
 #: Words of 64 bits of the Bloom filter: 16 bits a document, within these bounds.
 FILTER_WORDS = (1 << 12, 1 << 20)
 
