@@ -8,7 +8,8 @@ strings meet in one shard, whatever their documents:
    windows of a context that occurs twice are repeats, and one of its copies goes on.
 3. Anchors with several different contexts send one copy of each to the shard of the anchor. A shard is suffix sorted by
    external induced sorting with common-prefix values (see :mod:`corpuslab.llm.suffix_sort`); windows whose common
-   prefix with a neighbour reaches ``length`` are repeats. Its memory is bounded, its queues spill to disk.
+   prefix with a neighbour reaches ``length`` are repeats. Its queues spill to disk; pieces, stars and their ranks are in
+   memory, which grows with the largest anchor.
 4. The repeats return to their documents, where covered bytes are cut out.
 
 The text of a document moves only if it holds a repeated anchor; the others are told apart by a Bloom filter of bounded

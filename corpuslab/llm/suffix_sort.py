@@ -10,7 +10,8 @@ and order of arrival. They hold tuples of position and the value of the common p
 follows from the minimum of the values passed since (plus one). All tuples of one symbol that wait are handled at once.
 
 Queues and sorted runs beyond ``memory`` bytes go to a scratch file of the task, which has no name and vanishes with it;
-long work arrays are mapped from such files too. Common-prefix values are counted up to ``cap``.
+long work arrays are mapped from such files too. The stars, their ranks and the sorts of both are in memory, and a string
+of many names is ranked by doubling, in memory, instead of the recursion. Common-prefix values are counted up to ``cap``.
 """
 
 from __future__ import annotations
