@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import dedup, diff, filters, lexicon, profile, rules, sampling, scoring, spans, synth
+from corpuslab.plans import findings as plan_findings
 
 
 def findings(spark, rows):
@@ -21,6 +22,27 @@ def test_insertions_overlap_only_inside_or_at_the_same_place(spark):
     assert [f["rule"] for f in spans.merged(findings(spark, rows), "found").first()["found"]] == ["A", "C"]
 
 
+def test_merge_against_brute_force_and_on_long_rows(spark):
+    rng = random.Random(3)
+    rows = [[(a, a + rng.randint(0, 4), rng.randint(1, 3), rng.choice("ABC"), None) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 25)))] for _ in range(60)] + [None]
+    over = lambda x, y: x[0] == y[0] if x[0] == x[1] and y[0] == y[1] else y[0] < x[0] < y[1] if x[0] == x[1] else x[0] < y[0] < x[1] if y[0] == y[1] else x[0] < y[1] and y[0] < x[1]
+    df = spark.createDataFrame(list(enumerate(rows)), f"doc_id int, found array<{spans.FINDING}>")
+    for r in spans.merged(df, "found").collect():
+        chosen = []
+        for f in sorted(rows[r["doc_id"]] or [], key=lambda f: (-f[2], f[0], f[1], f[3])):
+            chosen += [f] * (not any(over(f, k) for k in chosen))
+        assert r["found"] is None if rows[r["doc_id"]] is None else [tuple(f) for f in r["found"]] == sorted(chosen)
+    long = [(3 * k + 2, 3 * k + 7, 3, "CAPITAL", None) for k in range(20_000)]
+    assert len(spans.merged(findings(spark, long), "found").first()["found"]) == 10_000
+
+
+def test_findings_of_whole_documents_are_merged(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ab cd " * 300 + "Extraordinarily Long", "en", "s", 1820)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = plan_findings.merge_findings(spark, str(tmp_path)).collect()
+    assert sorted((r["start"], r["rule"]) for r in rows) == [(3 * k, "SHORT") for k in range(600)] + [(1802, "CAPITAL")]
+
+
 def test_apply_fixes(spark):
     df = spark.createDataFrame([("abcdef", [(0, 1, 1, "r", "XY"), (2, 2, 1, "r", "-"), (3, 5, 1, "r", ""), (5, 6, 1, "r", None)])], f"t string, found array<{spans.FINDING}>")
     assert spans.apply_fixes(df, "t", "found", "out").first()["out"] == "XYb-cf"
