@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.staging import with_body
 
-#: Deeper elements join the tree at this depth; their text is kept.
+#: Depth as a feature is counted up to this; the tree itself has no limit.
 MAX_DEPTH = 64
 PAGES_AT_ONCE = 200
 
@@ -75,6 +75,7 @@ class Forest:
 
     def __init__(self) -> None:
         self.parent: list[int] = []
+        self.level: list[int] = []
         self.depth: list[int] = []
         self.tag: list[int] = []
         self.bits: list[int] = []
@@ -85,7 +86,8 @@ class Forest:
 
     def _node(self, parent: int, tag: int, bits: int, label: int, text: str = "", linked: int = 0) -> int:
         self.parent.append(parent)
-        self.depth.append(0 if parent < 0 else self.depth[parent] + 1)
+        self.level.append(0 if parent < 0 else self.level[parent] + 1)
+        self.depth.append(min(self.level[-1], MAX_DEPTH))
         self.tag.append(tag)
         self.bits.append(bits)
         self.text.append(text)
@@ -98,6 +100,7 @@ class Forest:
         root = self._node(-1, _tag_number["html"], 0, 0)
         self.roots.append(root)
         stack, nodes = ["html"], [root]
+        places: dict[str, list[int]] = {}  # of open elements in the stack, by name
         pieces: list[str] = []
         linked, in_link, at = 0, 0, 0
 
@@ -117,6 +120,11 @@ class Forest:
                 if in_link:
                     linked += len(text)
 
+        def cut(k: int) -> None:
+            while len(stack) > k:
+                places[stack.pop()].pop()
+                nodes.pop()
+
         while True:
             found = _TOKEN.search(page, at)
             if not found:
@@ -149,37 +157,30 @@ class Forest:
             if name in ("html", "body", "head"):
                 continue
             if end:
-                if name in stack[1:]:
-                    while stack[-1] != name:
-                        stack.pop()
-                        nodes.pop()
-                    stack.pop()
-                    nodes.pop()
+                if places.get(name):
+                    cut(places[name][-1])
                 in_link = 0
                 continue
             if stack[-1] == "p":
-                stack.pop()
-                nodes.pop()
+                cut(len(stack) - 1)
             if name in CLOSES:
                 closed, bound = CLOSES[name]
-                k = len(stack) - 1
-                while k > 0 and stack[k] not in bound and stack[k] not in closed:
-                    k -= 1
+                k = max((places[x][-1] for x in bound | closed if places.get(x)), default=0)
                 while k > 0 and stack[k] in closed:
-                    del stack[k:], nodes[k:]
+                    cut(k)
                     k -= 1
             names = " ".join(x.strip("\"'") for x in _NAMES.findall(rest)) if rest and "=" in rest else ""
             label = _LABEL.search(rest) if rest and "data-y" in rest else None
             parent = nodes[-1]
             number = self._node(parent, _tag_number.get(name, len(TAGS) - 1), _named(names) if names else 0, int(label[1]) if label else self.label[parent])
-            if len(stack) < MAX_DEPTH:
-                stack.append(name)
-                nodes.append(number)
+            places.setdefault(name, []).append(len(stack))
+            stack.append(name)
+            nodes.append(number)
         flush()
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(parent, depth, kind of child, features)."""
-        parent, depth, tag = np.array(self.parent), np.array(self.depth), np.array(self.tag)
+        """(parent, level, kind of child, features)."""
+        parent, level, depth, tag = np.array(self.parent), np.array(self.level), np.array(self.depth), np.array(self.tag)
         n = len(parent)
         x = np.zeros((n, FEATURES))
         x[np.arange(n), tag] = 1
@@ -194,8 +195,7 @@ class Forest:
         blocks, paragraphs = (chars > 0).astype(float), (tag == _tag_number["p"]).astype(float)
         own = chars.copy()
         totals = np.stack([chars, linked, stops, words, blocks, paragraphs])
-        for d in range(int(depth.max(initial=0)), 0, -1):
-            at = np.flatnonzero(depth == d)
+        for at in reversed(by_level(level)[1:]):
             for row in totals:
                 np.add.at(row, parent[at], row[at])
         page = np.zeros(n, np.int64)
@@ -216,7 +216,12 @@ class Forest:
         x[:, base + 9] = (own > 0) & (words < 5)
         x[:, base + 10] = (own > 0) & (stops == 0)
         x[:, base + 11] = np.minimum(depth, 10) / 10
-        return parent, depth, _tag_kind[tag], x
+        return parent, level, _tag_kind[tag], x
+
+
+def by_level(level: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each level, in order."""
+    return np.split(np.argsort(level, kind="stable"), np.cumsum(np.bincount(level))[:-1]) if len(level) else []
 
 
 def messages(parent: np.ndarray, depth: np.ndarray, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -224,7 +229,7 @@ def messages(parent: np.ndarray, depth: np.ndarray, unary: np.ndarray, pair: np.
     n = len(parent)
     inside = unary.copy()
     up = np.zeros((n, 2))
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    levels = by_level(depth)
     for at in reversed(levels[1:]):
         up[at] = np.logaddexp(pair[at, :, 0] + inside[at, 0:1], pair[at, :, 1] + inside[at, 1:2])
         np.add.at(inside, parent[at], up[at])

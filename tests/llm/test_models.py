@@ -194,6 +194,20 @@ def test_broken_pages_never_fail(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_deep_elements_have_their_own_place():
+    forest = H.Forest()
+    forest.add("<main><article>" + "<div>" * 100 + '<div class="ad"><p>deep</p></div>' + "</div>" * 100 + "<p>late</p></article></main>")
+    at = {t: k for k, t in enumerate(forest.text) if t}
+    above = lambda k: [forest.tag[k]] + (above(forest.parent[k]) if forest.parent[k] >= 0 else [])
+    names = lambda k: [H.TAGS[t] for t in above(k)]
+    assert names(at["late"]) == ["#text", "p", "article", "main", "html"]
+    assert names(at["deep"]) == ["#text", "p"] + ["div"] * 101 + ["article", "main", "html"]
+    assert forest.bits[forest.parent[forest.parent[at["deep"]]]] == H._named("ad") != 0
+    forest = H.Forest()
+    forest.add("<div>" * 40_000 + "<ul>" + "<div>" * 10_000 + "<li>a</li>" * 1000 + "</div>" * 50_000)
+    assert max(forest.level) == 50_003 and len(H.trained().marginals(forest)) == len(forest.parent)
+
+
 # licences
 
 
