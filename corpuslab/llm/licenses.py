@@ -5,6 +5,10 @@ runs: these fingerprints point to their template and place. All runs of a docume
 about the same diagonal are a candidate. A candidate is aligned word by word with its template within a band around the
 diagonal (local alignment, match 1, mismatch and gap -1/2), which tells the matched words, the coverage of the template
 and the span in the document. Of overlapping candidates the one with most matched words stays.
+
+Runs miss altered short templates, so each template also has guards: one word more than may be missing of it, the rarest
+first. Of any alignment with enough matched words, at least one guard is matched; it is a candidate if enough words of the
+template stand near it. So every alignment that drifts by no more than the band is found.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from corpuslab.llm import kernels as K
 from corpuslab.llm.staging import with_body
 
 RUN, WINDOW = 3, 4
+#: Words that are guards only if there are no others.
+COMMON = "a all an and any are as at be but by can for from has have if in is it its may more must no not of on one or other that the this to under use was where will with work you your"
 
 #: Notices of public licences, as their stewards word them, and the usual one-line references.
 TEMPLATES: list[tuple[str, str]] = [
@@ -61,16 +67,11 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], 1))
 
 
-class Index:
-    """Fingerprint -> (template, place), sorted by fingerprint."""
+class Postings:
+    """Key -> (template, place), sorted by key."""
 
-    def __init__(self, templates: list[tuple[str, str]]) -> None:
-        self.names = [name for name, _ in templates]
-        data, offsets = K.column_bytes(pa.array([text for _, text in templates], pa.string()))
-        words = K.Words(data, offsets, K.ALNUM_WORDS)
-        self.words = [words.hash[words.bounds[i] : words.bounds[i + 1]] for i in range(len(templates))]
-        found = [(int(h[p]), t, int(p)) for t, own in enumerate(self.words) for h in [K.sequence_hash(own, min(RUN, len(own)))] for p in winnow(h, WINDOW)]
-        found.sort()
+    def __init__(self, found: list[tuple[int, int, int]]) -> None:
+        found = sorted(found)
         self.key = np.array([x[0] for x in found], np.uint64)
         self.template, self.place = (np.array([x[k] for x in found], np.int64) for k in (1, 2))
         self.sieve = np.zeros(1 << 16, bool)
@@ -85,6 +86,28 @@ class Index:
         return np.repeat(maybe, many), entry
 
 
+class Index(Postings):
+    """Winnowed fingerprints of the templates; ``guards``: words of which one is in every alignment of ``least`` of a template."""
+
+    def __init__(self, templates: list[tuple[str, str]], least: float = 0.8) -> None:
+        self.names = [name for name, _ in templates]
+        data, offsets = K.column_bytes(pa.array([text for _, text in templates] + [COMMON], pa.string()))
+        words = K.Words(data, offsets, K.ALNUM_WORDS)
+        *self.words, common = [words.hash[words.bounds[i] : words.bounds[i + 1]] for i in range(len(templates) + 1)]
+        super().__init__([(int(h[p]), t, int(p)) for t, own in enumerate(self.words) for h in [K.sequence_hash(own, min(RUN, len(own)))] for p in winnow(h, WINDOW)])
+        guards = []
+        for t, own in enumerate(self.words):
+            size = (words.end - words.start)[words.bounds[t] : words.bounds[t + 1]]
+            rare = np.lexsort((np.arange(len(own)), -size, np.isin(own, common)))
+            guards += [(int(own[p]), t, int(p)) for p in rare[: max(0, len(own) - needed(least, len(own)) + 1)]]
+        self.guards = Postings(guards)
+
+
+def needed(least: float, size: int) -> int:
+    """How many words of a template of ``size`` words count as enough."""
+    return max(1, int(np.ceil(least * size)))
+
+
 def align(text: list[int], template: list[int], diagonal: int, band: int) -> tuple[int, int, int]:
     """Best local alignment within ``band`` of the diagonal: (matched words, first word, end word) in ``text``.
 
@@ -107,23 +130,50 @@ def align(text: list[int], template: list[int], diagonal: int, band: int) -> tup
     return best[1], best[2], best[3]
 
 
-def scan_row(words: np.ndarray, places: np.ndarray, entries: np.ndarray, index: Index, least: float) -> list[tuple[int, int, int, int]]:
-    """(template, first word, end word, matched words) of one document, without overlaps."""
+def near_enough(words: np.ndarray, template: np.ndarray, places: np.ndarray, need: int, band: int) -> np.ndarray:
+    """Which ``places`` lie in a stretch of ``words`` that an alignment can span and that holds ``need`` words of the template."""
+    at = np.flatnonzero(np.isin(words, template))
+    reach = len(template) - 1 + band
+    begin = at[: max(0, len(at) - need + 1)]
+    begin = begin[at[need - 1 :] - begin <= reach]
+    last = np.searchsorted(begin, places, "right") - 1
+    return (last >= 0) & (places - begin[last] <= reach) if len(begin) else np.zeros(len(places), bool)
+
+
+def alignments(text: list[int], template: list[int], low: int, high: int, diagonal: int, band: int, need: int) -> list[tuple[int, int, int]]:
+    """The best alignment in ``text[low:high]`` if it has ``need`` words, and those beside it: (matched words, first word, end word)."""
+    if high - low < need:
+        return []
+    matched, first, end = align(text[low:high], template, diagonal - low, band)
+    if matched < need:
+        return []
+    beside = [x for a, b in ((low, low + first), (low + end, high)) for x in alignments(text, template, a, b, diagonal, band, need)]
+    return [(matched, low + first, low + end), *beside]
+
+
+def scan_row(words: np.ndarray, places: np.ndarray, entries: np.ndarray, index: Index, least: float, guards: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int]]:
+    """(template, first word, end word, matched words) of one document, without overlaps. ``guards``: hits of guards, if known."""
     found = []
     text: list[int] | None = None
-    for t in np.unique(index.template[entries]):
-        own = index.template[entries] == t
+    single, of = index.guards.look_up(words) if guards is None else guards
+    for t in np.unique(np.concatenate([index.template[entries], index.guards.template[of]])):
+        own, alone = index.template[entries] == t, index.guards.template[of] == t
         template = index.words[t]
-        band = max(4, len(template) // 8)
-        diagonals = np.sort(places[own] - index.place[entries[own]])
+        band, need = max(4, len(template) // 8), needed(least, len(template))
+        diagonals = places[own] - index.place[entries[own]]
+        if alone.any():
+            near = near_enough(words, template, single[alone], need, band)
+            diagonals = np.concatenate([diagonals, (single[alone] - index.guards.place[of[alone]])[near]])
+        if not len(diagonals):
+            continue
+        diagonals = np.sort(diagonals)
         groups = np.split(diagonals, np.flatnonzero(np.diff(diagonals) > band) + 1)
         for group in groups:
             text = words.tolist() if text is None else text
             low = max(0, int(group[0]) - band)
-            high = int(group[-1]) + len(template) + band
-            matched, first, end = align(text[low:high], template.tolist(), int(group[len(group) // 2]) - low, band + int(group[-1] - group[0]))
-            if matched >= least * len(template):
-                found.append((matched, matched / len(template), int(t), low + first, low + end))
+            high = min(len(text), int(group[-1]) + len(template) + band)
+            for matched, first, end in alignments(text, template.tolist(), low, high, int(group[len(group) // 2]), band + int(group[-1] - group[0]), need):
+                found.append((matched, matched / len(template), int(t), first, end))
     found.sort(key=lambda x: (-x[0], -x[1], x[3], x[2]))
     kept: list[tuple[int, int, int, int]] = []
     for matched, _, t, first, end in found:
@@ -145,13 +195,15 @@ def _scan(index: Index, least: float, n_carry: int, names: list[str], span: pa.D
                 inside = row_of[places] == row_of[np.minimum(places + RUN - 1, max(0, len(row_of) - 1))] if len(places) else np.zeros(0, bool)
                 places, entries = places[inside], entries[inside]
                 cuts = np.searchsorted(places, words.bounds)
+                single, of = index.guards.look_up(words.hash)
+                marks = np.searchsorted(single, words.bounds)
                 for i in range(words.rows):
-                    if cuts[i] == cuts[i + 1]:
+                    if cuts[i] == cuts[i + 1] and marks[i] == marks[i + 1]:
                         spans.append([])
                         continue
                     base = words.bounds[i]
-                    part = slice(cuts[i], cuts[i + 1])
-                    found = scan_row(words.hash[base : words.bounds[i + 1]], places[part] - base, entries[part], index, least)
+                    part, alone = slice(cuts[i], cuts[i + 1]), slice(marks[i], marks[i + 1])
+                    found = scan_row(words.hash[base : words.bounds[i + 1]], places[part] - base, entries[part], index, least, (single[alone] - base, of[alone]))
                     at = words.offsets[i]
                     spans.append([{"license": index.names[t], "start": int(words.start[base + a] - at), "end": int(words.end[base + b - 1] - at), "matched": m, "coverage": round(m / len(index.words[t]), 6)} for t, a, b, m in found])
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_carry)] + [pa.array(spans, span)], names)
@@ -170,7 +222,7 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, te
     kind = "array<struct<license:string,start:bigint,end:bigint,matched:bigint,coverage:double>>"
     schema = docs.select(*[f"`{c}`" for c in carry], F.lit(None).cast(kind).alias(column)).schema
     span = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())]))
-    return rows.mapInArrow(_scan(Index(templates or TEMPLATES), least, len(carry), schema.names, span), schema)
+    return rows.mapInArrow(_scan(Index(templates or TEMPLATES, least), least, len(carry), schema.names, span), schema)
 
 
 def query_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

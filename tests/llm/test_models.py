@@ -245,6 +245,32 @@ def test_altered_licence_is_still_found():
     assert [f[0] for f in found] == ["MIT"] and 0.8 <= found[0][3] < 1
 
 
+def test_short_licences_with_one_changed_word(spark, make_docs):
+    docs = ["x Licensed under a CC BY 4.0 licence y", "x Licensed under the MIT licence y", "Released a under b the c MIT d License", "Licensed under CC BY 4.0. Licensed under CC BY 4.0."]
+    rows = sorted(C.scan(make_docs(docs)).collect(), key=lambda r: r["doc_id"])
+    assert [[x["license"] for x in r["licenses"]] for r in rows] == [["CC-BY-4.0"], ["MIT"], ["MIT"], ["CC-BY-4.0"] * 2]
+
+
+@pytest.mark.parametrize("number", range(len(C.TEMPLATES)))
+def test_one_word_edits_at_each_position(number):
+    index = C.Index([C.TEMPLATES[number]])
+    template, odd = index.words[0], np.uint64(1)
+    none = np.zeros(0, np.int64)
+    spare = len(template) - C.needed(0.8, len(template))
+    around = lambda x: np.concatenate([np.full(20, odd), x, np.full(20, odd)])
+    for k in range(len(template)):
+        whole = C.scan_row(around(np.insert(template, k, odd)), none, none, index, 0.8)
+        assert [f[3] for f in whole] == [len(template)]
+        if spare:
+            changed, gone = template.copy(), np.delete(template, k)
+            changed[k] = odd
+            assert [[f[3] for f in C.scan_row(around(x), none, none, index, 0.8)] for x in (changed, gone)] == [[len(template) - 1]] * 2
+    for step in range(5):  # as many changed words as may be
+        changed = template.copy()
+        changed[(np.arange(spare) * 4 + step) % len(template)] = odd
+        assert C.scan_row(around(changed), none, none, index, 0.8) or spare == 0
+
+
 def test_winnowing_keeps_one_of_each_window():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 50, 200).astype(np.uint64)
