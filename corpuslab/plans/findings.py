@@ -150,16 +150,29 @@ def coordinate_shift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the next one by id whose key starts the same way: near copies as (src, gold)."""
+    """Documents with the next one by id whose key starts the same way, as (src, gold)."""
     docs = documents(spark, d, "doc_id", "text").withColumn("head", F.substring(T.match_key(F.col("text")), 1, 60))
     w = Window.partitionBy("head").orderBy("doc_id")
     return docs.withColumn("gold", F.lead("text").over(w)).where("gold is not null").select("doc_id", F.col("text").alias("src"), "gold")
 
 
+def near_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Every near copy, by its whole text, with the document of the smallest id in its component: (doc_id, src, gold)."""
+    from corpuslab.llm import near_dedup
+    from corpuslab.llm.staging import staged
+
+    docs = documents(spark, d, "doc_id", "text")
+    found = near_dedup.near_duplicates(docs, width=2).where("doc_id <> component_id").select("doc_id", "component_id")
+    found = staged(found, "copies-found")
+    heads = found.select("component_id").distinct().join(docs.select(F.col("doc_id").alias("component_id"), F.col("text").alias("gold")), "component_id")
+    heads = staged(heads, "copies-heads")  # a written side lets AQE split the other
+    return docs.withColumnRenamed("text", "src").join(found, "doc_id").join(heads, "component_id").select("doc_id", "src", "gold")
+
+
 @query()
 def token_diff(spark: SparkSession, d: str) -> DataFrame:
     """Token edits of near copies with their kinds."""
-    rows = diff.edit_rows(_pairs(spark, d), "src", "gold")
+    rows = diff.edit_rows(near_copies(spark, d), "src", "gold")
     return rows.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 

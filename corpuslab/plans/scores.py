@@ -16,13 +16,18 @@ _G = sql_uniform("'gold'", "doc_id", "word_no")
 THRESHOLDS = [0.3, 0.5, 0.7, 0.8, 0.9, 0.95]
 
 
-def places(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth word of a document with a gold flag and a score that leans to it."""
-    rows = words(spark, d).where("word_no % 10 = 0").select("doc_id", "lang", "word_no")
+def scored_words(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of a document with a gold flag and a score that leans to it."""
+    rows = words(spark, d).select("doc_id", "lang", "word_no")
     p, g = H.md5_uniform("m1", F.col("doc_id"), F.col("word_no")), H.md5_uniform("gold", F.col("doc_id"), F.col("word_no"))
     return rows.withColumn("p", p).withColumn("gold", (g + p) / 2 > 0.7)
 
 
+def places(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth word, as the SQL twins have it."""
+    return scored_words(spark, d).where("word_no % 10 = 0")
+
+
 _PLACES = f"WITH {SQL_WORDS}, places AS (SELECT doc_id, lang, word_no, {_P} AS p, ({_G} + {_P}) / 2 > 0.7 AS gold FROM words WHERE word_no % 10 = 0)"
 _F05 = "CASE WHEN tp > 0 THEN round(1.25 * (tp / greatest(1, tp + fp)) * (tp / greatest(1, tp + fn)) / (0.25 * (tp / greatest(1, tp + fp)) + tp / greatest(1, tp + fn)), 6) ELSE 0 END"
 _GRID = f"""grid AS (SELECT lang, t AS threshold, count(*) FILTER (WHERE p >= t AND gold) AS tp, count(*) FILTER (WHERE p >= t AND NOT gold) AS fp, count(*) FILTER (WHERE p < t AND gold) AS fn
@@ -109,9 +114,9 @@ def event_rate_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def log_linear_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Poisson log-linear weights fitted on the aggregated combinations of two features."""
+    """Poisson log-linear weights fitted on the aggregated combinations of two features, over all words."""
     place = F.when(F.col("word_no") < 50, "begin").when(F.col("word_no") < 200, "middle").otherwise("end")
-    rows = places(spark, d).groupBy("lang", place.alias("place")).agg(F.sum(F.col("gold").cast("long")).alias("e"), F.count(F.lit(1)).alias("n"))
+    rows = scored_words(spark, d).groupBy("lang", place.alias("place")).agg(F.sum(F.col("gold").cast("long")).alias("e"), F.count(F.lit(1)).alias("n"))
     fit = profile.fit_log_linear(rows, ["lang", "place"], "e", "n")
     return spark.createDataFrame([(f, v, round(w, 6)) for (f, v), w in sorted(fit.items())], "feature string, value string, weight double")
 

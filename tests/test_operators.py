@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators import dedup, diff, filters, lexicon, profile, rules, sampling, scoring, spans, synth
 from corpuslab.plans import findings as plan_findings
+from corpuslab.plans import scores as plan_scores
 
 
 def findings(spark, rows):
@@ -43,6 +44,24 @@ def test_findings_of_whole_documents_are_merged(spark, tmp_path):
     assert sorted((r["start"], r["rule"]) for r in rows) == [(3 * k, "SHORT") for k in range(600)] + [(1802, "CAPITAL")]
 
 
+def test_log_linear_query_uses_all_words(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(1, "word " * 123, "en", "s", 615)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    counted = []
+    monkeypatch.setattr(profile, "fit_log_linear", lambda table, *_: counted.append({r["place"]: r["n"] for r in table.collect()}) or {("lang", "en"): 0.0})
+    plan_scores.log_linear_fit(spark, str(tmp_path))
+    assert counted == [{"begin": 50, "middle": 73}]
+
+
+def test_near_copies_that_differ_in_their_opening(spark, tmp_path):
+    body = " ".join(f"word{k}" for k in range(100))
+    texts = ["First " + body, "Second " + body, body + " third", "other text entirely " * 20]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = plan_findings.token_diff(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [(1, "word", 1), (2, "deletion", 1), (2, "insertion", 1)]
+
+
 def test_apply_fixes(spark):
     df = spark.createDataFrame([("abcdef", [(0, 1, 1, "r", "XY"), (2, 2, 1, "r", "-"), (3, 5, 1, "r", ""), (5, 6, 1, "r", None)])], f"t string, found array<{spans.FINDING}>")
     assert spans.apply_fixes(df, "t", "found", "out").first()["out"] == "XYb-cf"
