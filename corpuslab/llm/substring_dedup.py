@@ -8,8 +8,8 @@ strings meet in one shard, whatever their documents:
    windows of a context that occurs twice are repeats, and one of its copies goes on.
 3. Anchors with several different contexts send one copy of each to the shard of the anchor. A shard is suffix sorted by
    external induced sorting with common-prefix values (see :mod:`corpuslab.llm.suffix_sort`); windows whose common
-   prefix with a neighbour reaches ``length`` are repeats. Its queues spill to disk; pieces, stars and their ranks are in
-   memory, which grows with the largest anchor.
+   prefix with a neighbour reaches ``length`` are repeats. Pieces and all that sorts them go to disk when they are large,
+   so the memory of a task does not grow with its shard.
 4. The repeats return to their documents, where covered bytes are cut out.
 
 The text of a document moves only if it holds a repeated anchor; the others are told apart by a Bloom filter of bounded
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.anchors import find_anchors
+from corpuslab.llm.external import Vector
 from corpuslab.llm.staging import free_names, parallelism, staged
-from corpuslab.llm.suffix_sort import repeated_starts, work_array
+from corpuslab.llm.suffix_sort import repeated_runs
 
-#: Bytes of context that a shard should have on average, and of queues that a shard keeps in memory.
-SHARD_BYTES, QUEUE_BYTES = 3 << 19, 32 << 20
+#: Bytes of context that a shard should have on average, and scale of the memory that sorting one takes (some four times that at most).
+SHARD_BYTES, SORT_BYTES = 3 << 19, 64 << 20
 #: Words of 64 bits of the Bloom filter: 16 bits a document, within these bounds.
 FILTER_WORDS = (1 << 12, 1 << 20)
 
@@ -75,37 +76,47 @@ def _cut(length: int):
 
 
 def _sort(length: int, memory: int):
-    """One shard a partition: (anchor, context, piece) -> (anchor, context, runs of repeated window starts)."""
+    """One shard a partition, in the order of anchor and context: (anchor, context, piece) -> (anchor, context, runs of repeated window starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = [batch for batch in batches if batch.num_rows]
-        if not shard:
-            return
-        table = pa.Table.from_batches(shard)
-        anchors, contexts = (table.column(i).to_numpy() for i in (0, 1))
-        # Rows equal in all columns cut the same piece twice, which would look like a repeat: one each.
-        order = np.lexsort((contexts, anchors))
-        same = (anchors[order][1:] == anchors[order][:-1]) & (contexts[order][1:] == contexts[order][:-1])
-        keep = np.ones(len(order), bool)
-        keep[order[1:][same]] = False
-        pieces = table.column(2).combine_chunks() if keep.all() else table.column(2).combine_chunks().filter(pa.array(keep))
-        anchors, contexts = anchors[keep], contexts[keep]
-        del shard, table
-        data, offsets = K.column_bytes(pieces)
-        ends = offsets[1:] + np.arange(len(pieces))
-        text = work_array(len(data) + len(pieces), np.uint8, memory)  # every piece is closed by 0; bytes of UTF-8 stay below 255
-        inside = np.ones(len(text), bool)
-        inside[ends] = False
-        text[inside] = data + 1
-        bounds = np.concatenate([[0], ends + 1])
-        del pieces, data, inside
-        again = repeated_starts(text, length, memory)
-        if not again.any():
+        text, begins, names = Vector(np.uint8, memory // 16), Vector(np.int64, memory // 32), [Vector(np.int64, memory // 32) for _ in range(2)]
+        last = None
+        for batch in batches:
+            own = [batch.column(i).to_numpy() for i in (0, 1)]
+            # Rows equal in all columns cut the same piece twice, which would look like a repeat: one each.
+            keep = np.ones(batch.num_rows, bool)
+            keep[1:] = (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])
+            if batch.num_rows:
+                keep[0] = last != (own[0][0], own[1][0])
+                last = (own[0][-1], own[1][-1])
+            for part in range(0, batch.num_rows, 1000):
+                at = part + np.flatnonzero(keep[part : part + 1000])
+                data, offsets = K.column_bytes(batch.column(2).take(pa.array(at)))
+                ends = offsets[1:] + np.arange(len(at))
+                closed = np.zeros(len(data) + len(at), np.uint8)  # every piece is closed by 0; bytes of UTF-8 stay below 255
+                inside = np.ones(len(closed), bool)
+                inside[ends] = False
+                closed[inside] = data + 1
+                begins.append(len(text) + np.concatenate([[0], ends + 1])[: len(at)])
+                text.append(closed)
+                for name, column in zip(names, own, strict=True):
+                    name.append(column[at])
+        if not len(text):
             return
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
-        begin, end = edges[::2], edges[1::2]  # a run never crosses a piece: its closing bytes repeat nothing
-        piece = np.searchsorted(bounds, begin, side="right") - 1
-        yield pa.RecordBatch.from_arrays([pa.array(anchors[piece]), pa.array(contexts[piece]), pa.array(begin - bounds[piece]), pa.array(end - 1 - bounds[piece])], ["anchor", "context", "low", "high"])
+        first, known = 0, begins.read(0, 1 << 16)
+        for begin, end in repeated_runs(text, length, memory):  # a run never crosses a piece: its closing byte repeats nothing
+            at = 0
+            while at < len(begin):
+                limit = begins.read(first + len(known), first + len(known) + 1)
+                upto = int(np.searchsorted(begin, limit[0], "left")) if len(limit) else len(begin)
+                if upto > at:
+                    piece = np.searchsorted(known, begin[at:upto], "right") - 1
+                    anchor, context = (name.read(first, first + len(known))[piece] for name in names)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), pa.array(begin[at:upto] - known[piece]), pa.array(end[at:upto] - 1 - known[piece])], ["anchor", "context", "low", "high"])
+                    at = upto
+                else:
+                    first += len(known)
+                    known = begins.read(first, first + (1 << 16))
 
     return run
 
@@ -138,7 +149,7 @@ def _remove(length: int, n_carry: int, names: list[str], with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None = None, length: int = 400, gram: int | None = None, shard_bytes: int = SHARD_BYTES, memory: int = QUEUE_BYTES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None = None, length: int = 400, gram: int | None = None, shard_bytes: int = SHARD_BYTES, memory: int = SORT_BYTES, with_text: bool = False) -> DataFrame:
     """The ``carry`` columns (default: all but the text), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, ``kept``.
 
     Texts are UTF-8 bytes, null is empty; texts under ``length`` bytes lose nothing; repeated rows repeat each other, so
@@ -177,7 +188,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     pieces = maybe.select(F.col(key).alias("key"), F.col(text).alias("text")).join(by_key, "key").select("text", "wanted").mapInArrow(_cut(length), "anchor bigint, context bigint, piece binary")
     total = wanted.agg(F.sum(F.col("reach") + length)).first()[0] or 0
     shards = max(parallelism(spark), int(total // shard_bytes) + 1)
-    sorted_ = pieces.repartition(shards, "anchor").mapInArrow(_sort(length, memory), "anchor bigint, context bigint, low bigint, high bigint")
+    sorted_ = pieces.repartition(shards, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(_sort(length, memory), "anchor bigint, context bigint, low bigint, high bigint")
     sorted_ = staged(sorted_, "sub-sorted")
 
     copied = contexts.where("n > 1").select("anchor", "context", F.col("copy.reach").cast("bigint").alias("high"))

@@ -1,11 +1,15 @@
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from corpuslab.llm import suffix_sort as S
 from corpuslab.llm.anchors import find_anchors
+from corpuslab.llm.external import Sorter, Vector
 from corpuslab.llm.substring_dedup import remove_repeats
 from tests.llm.conftest import prose
 
@@ -76,23 +80,85 @@ def test_anchor_windows_cover_every_start_once():
     assert all(len(v) == 1 for v in by_window.values())
 
 
-@pytest.mark.parametrize("share", [0, 1, 64])
-@pytest.mark.parametrize("memory", [64, 1 << 20])
-def test_suffix_order_and_common_prefixes(monkeypatch, share, memory):
-    monkeypatch.setattr(S, "SYMBOL_SHARE", share)
-    rng = random.Random(share + memory)
-    for _ in range(60):
+def vector(text, memory):
+    out = Vector(np.uint8, memory // 8)
+    out.append(np.array(text, np.uint8))
+    return out
+
+
+def check_order(text, cap, memory):
+    """Order and common prefixes against sorting the suffixes themselves."""
+    end, ends = len(text), {}
+    for i in reversed(range(len(text))):
+        end = ends[i] = i if text[i] == 0 else end
+    keys = {i: [(c, 0) for c in text[i : ends[i]]] + [(0, ends[i])] for i in range(len(text)) if text[i]}
+    order = sorted(keys, key=keys.get, reverse=True)
+    common = [0] + [min(cap, next(k for k, (u, v) in enumerate(zip(keys[x], keys[y], strict=False)) if u != v)) for x, y in zip(order, order[1:], strict=False)]
+    got = list(S.sorted_suffixes(vector(text, memory), cap, memory))
+    assert np.concatenate([g[0] for g in got]).tolist() == order
+    assert np.concatenate([g[1] for g in got]).tolist() == common
+
+
+@pytest.mark.parametrize("in_memory", [True, False])
+@pytest.mark.parametrize("memory", [64, 2000, 1 << 20])
+def test_suffix_order_and_common_prefixes(monkeypatch, in_memory, memory):
+    if not in_memory:
+        monkeypatch.setattr(S, "NAME_BYTES", 1 << 40)  # the recursion goes to its end
+    rng = random.Random(memory)
+    for _ in range(40):
         letters = rng.choice([1, 2, 3, 26])
         base, text = [rng.randint(1, letters) for _ in range(rng.randint(1, 30))], []
         for _ in range(rng.randint(1, 6)):
             text += [rng.randint(1, letters) for _ in range(rng.randint(0, 8))] + (base if rng.random() < 0.5 else []) + [rng.randint(1, letters), 0]
-        keys = []
-        for i in range(len(text)):
-            end = text.index(0, i)
-            keys.append([(c, 0) for c in text[i:end]] + [(0, end)])
-        order = sorted(range(len(text)), key=lambda i: keys[i])
-        cap = rng.choice([3, 8, 400])
-        got = list(S.induced_order(np.array(text, np.uint8), cap, memory))
-        assert np.concatenate([g[0] for g in got]).tolist() == order
-        common = [0] + [min(cap, next(k for k, (u, v) in enumerate(zip(keys[x], keys[y], strict=False)) if u != v)) for x, y in zip(order, order[1:], strict=False)]
-        assert np.concatenate([g[1] for g in got]).tolist() == common
+        check_order(text, rng.choice([3, 8, 400]), memory)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_repeats_in_many_batches(monkeypatch, seed):
+    monkeypatch.setattr(S, "NAME_BYTES", 1 << 40)
+    rng = random.Random(seed)
+    letters, base, text = rng.choice([2, 4, 26]), [], []
+    base = [rng.randint(1, letters) for _ in range(300)]
+    while len(text) < 3000:
+        a = rng.randrange(300)
+        text += [rng.randint(1, letters) for _ in range(rng.randint(0, 40))] + base[a : a + rng.randint(0, 200)] + [1] + [0] * (rng.random() < 0.3)
+    check_order([*text, 0], 400, 8000)
+
+
+PEAK = """
+import resource, sys
+import numpy as np
+from corpuslab.llm import suffix_sort as S
+from corpuslab.llm.external import Vector
+memory, text, rng = int(sys.argv[1]), Vector(np.uint8, 1 << 17), np.random.Generator(np.random.PCG64(1))
+words = rng.integers(98, 124, (3000, 7)).astype(np.uint8)
+while len(text) < memory:
+    block = words[(rng.random(9000) ** 3 * 3000).astype(int)].ravel()
+    block[::640] = 0
+    block[-1] = 0
+    for k in range(0, len(block) - 1000, 3200):
+        block[k + 100 : k + 400] = words.ravel()[:300]
+    text.append(block)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+runs = sum(len(a) for a, _ in S.repeated_runs(text, 200, memory))
+assert runs >= len(text) // 3300
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+
+
+def test_memory_is_bounded_with_all_on_disk():
+    memory = 1 << 19
+    done = subprocess.run([sys.executable, "-c", PEAK, str(memory)], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(done.stdout) * 1024 < 4 * memory + (20 << 20)  # blocks that are read, and the interpreter's own
+
+
+def test_sorter_merges_runs():
+    rng = np.random.Generator(np.random.PCG64(3))
+    a, b = rng.integers(0, 50, 5000), rng.integers(0, 9, 5000)
+    sorter = Sorter([np.int64, np.int64, np.int64], 2, 4000)
+    for k in range(0, 5000, 70):
+        sorter.add(a[k : k + 70], b[k : k + 70], np.arange(5000)[k : k + 70])
+    parts = list(sorter.read(200))
+    order = np.lexsort((b, a))
+    assert (np.concatenate([p[0] for p in parts]) == a[order]).all() and (np.concatenate([p[1] for p in parts]) == b[order]).all()
+    assert sorted(np.concatenate([p[2] for p in parts])) == list(range(5000))
