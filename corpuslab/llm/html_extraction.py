@@ -34,9 +34,10 @@ _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^
 _LABEL = re.compile(r'data-y="([01])"')
 _SPACE = re.compile(r"\s+")
 #: Element names of HTML by role.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "xmp", "noembed", "noframes"}
+#: RAW holds text that is no part of the page: scripts, styles, templates, values of form fields, the title of the window, and what stands in for a frame.
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "select", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "center", "picture", "button"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "center", "picture", "button", "noscript", "math", "mi", "mn", "mo", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "mtext", "mspace", "mstyle", "mover", "munder", "munderover", "semantics", "annotation", "object", "svg", "g", "text", "tspan", "path", "circle", "rect", "line"}
 TAGS = ["html", "body", "div", "section", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "nav", "header", "footer", "aside", "form", "fieldset", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "address", "details", "dialog", "#text", "#other"]
 #: What an opening tag closes implicitly, up to a boundary.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}

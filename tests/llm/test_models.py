@@ -16,17 +16,15 @@ from tests.llm.conftest import prose
 # language identification
 
 
-def phrases(text, labelled, segment=L.SEGMENT):
+def phrases(text, labelled):
     """Greedy longest matches by substring search; a symbol that does not occur is a phrase of its own."""
-    n = 0
-    for at in range(0, len(text), segment):
-        piece, k = text[at : at + segment], 0
-        while k < len(piece):
-            end = k + 1
-            while end <= len(piece) and piece[k:end] in labelled:
-                end += 1
-            k = max(k + 1, end - 1)
-            n += 1
+    n = k = 0
+    while k < len(text):
+        end = k + 1
+        while end <= len(text) and text[k:end] in labelled:
+            end += 1
+        k = max(k + 1, end - 1)
+        n += 1
     return n
 
 
@@ -34,7 +32,7 @@ def test_parse_against_brute_force():
     rng = random.Random(1)
     labelled = {"aa": prose(rng, 60).encode(), "bb": prose(rng, 60, "xa zo mi".split()).encode(), "cc": "éü ß".encode() * 9}
     parser = L.Parser(labelled)
-    texts = [prose(rng, rng.randint(0, 150)) + rng.choice(["", "é qq", "ß"]) for _ in range(40)] + ["", "q", "qqq q", prose(rng, 900)]
+    texts = [prose(rng, rng.randint(0, 150)) + rng.choice(["", "é qq", "ß"]) for _ in range(40)] + ["", "q", "qqq q", prose(rng, 900), labelled["aa"].decode() * 4, "ß" * 700, labelled["aa"].decode()[3:] + labelled["aa"].decode()]
     raw = [t.encode() for t in texts]
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])])
     got = parser.phrases(data, offsets)
@@ -181,6 +179,21 @@ def test_pages_of_the_table(spark, data):
 BROKEN = [None, "", "plain words only", "<p>open <b>bold", "</div></p><p>x", "<!-- never closed <p>x</p>", "<script>var a='<p>'", "<p title='a>b'>quoted</p>", "<a href=\"x", "<p>&lt;b&gt; &amp; &#233;&nbsp;x</p>", "<div>" * 3000 + "deep" + "</div>" * 3000, "<ul><li>a<li>b</ul>", "<table><tr><td>a<td>b</table>", "<![CDATA[x<y]]>", "<", "<>"]
 
 
+def test_nothing_but_forms_and_scripts_goes_by_name():
+    body = "<p>Ein langer Absatz steht hier, mit Satz und Punkt. Noch ein Satz folgt ihm, damit er lang genug ist.</p>"
+    page = f"<html><body><article class='post'>{body}<p>Die Formel <math><mi>x</mi><mo>=</mo><mn>2</mn></math> gilt immer, wie man sieht.</p><noscript><p>Auch ohne Skript bleibt dieser Satz im Artikel stehen.</p></noscript><script>var y = 1</script><select><option>ja</option></select>{body}</article></body></html>"
+    (text,) = H.main_texts([page], H.trained())
+    assert "x=2" in text and "ohne Skript" in text and "var y" not in text and "ja" not in text.split()
+
+
+@pytest.mark.parametrize("depth", [70, 3000])
+def test_text_after_deep_elements_stays(depth):
+    body = "<p>Ein langer Absatz steht hier, mit Satz und Punkt. Noch ein Satz folgt ihm, damit er lang genug ist.</p>"
+    page = f"<html><body><div class='post-content'>{body}{'<div>' * depth}{body}{'</div>' * depth}<p>Danach kommt der letzte Absatz, und er gehört dazu wie alle anderen auch.</p></div></body></html>"
+    (text,) = H.main_texts([page], H.trained())
+    assert "letzte Absatz" in text and text.count("langer Absatz") == 2
+
+
 def test_broken_pages_never_fail(spark):
     df = spark.createDataFrame([(i, h, "u", "clash") for i, h in enumerate(BROKEN)], "page_id bigint, html string, url string, body string")
     out = {r["page_id"]: r for r in H.extract(df).collect()}
