@@ -7,8 +7,9 @@ language that needs least wins.
 
 Symbols are the UTF-8 bytes of the lower-cased text; whatever is no letter (ASCII) becomes one space, runs of it too.
 The automata become one dense transition table, and all segments of all documents of a batch walk through it in
-lockstep against all languages at once. A parse starts anew every ``SEGMENT`` symbols, so that a very long text is many
-short lanes and not one long loop; whole texts are parsed.
+lockstep against all languages at once, so that a very long text is many short lanes and not one long loop. A lane goes
+on to the end of its last phrase, which is where the next one has to begin; lanes that began elsewhere are parsed again
+until all fit together. So the phrases are those of one parse of the whole text, however long they are.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from corpuslab.llm import kernels as K
 from corpuslab.llm.staging import with_body
 
+#: Symbols of a lane.
 SEGMENT = 256
-#: The labelled sample: at most so many documents of a language, and of these at most so many symbols.
-LABELLED_DOCUMENTS, LABELLED_SYMBOLS = 60, 24_000
+#: The labelled sample: at most so many whole documents of a language, of so many bytes together (or one).
+LABELLED_DOCUMENTS, LABELLED_BYTES = 60, 32_000
 _SPACE = 32
 _CODE = np.arange(256, dtype=np.uint8)
 _CODE[:128] = _SPACE
@@ -104,49 +106,78 @@ class Parser:
             base += len(states)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
+    def _walk(self, column: np.ndarray, root: np.ndarray, begin: np.ndarray, stop: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in [begin, stop) of many lanes, and where the one after them begins; ``end``: of the text."""
+        size = np.maximum(0, stop - begin)
+        order = np.argsort(-size, kind="stable")
+        falling, at, home = -size[order], begin[order], root[order]
+        state, count = home.copy(), np.zeros(len(order), np.int64)
+        for step in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(falling, -step, side="left"))  # lanes longer than step
+            entry = self.table.take(state[:n] + column[at[:n] + step])
+            ended = entry & 3
+            count[:n] += ended
+            state[:n] = entry - ended
+        after = np.maximum(at, stop[order])
+        last = end[order]
+        open_ones = np.flatnonzero(state != home)
+        while len(open_ones):  # the last phrase, to its end
+            over = after[open_ones] >= last[open_ones]
+            count[open_ones[over]] += 1
+            open_ones = open_ones[~over]
+            entry = self.table.take(state[open_ones] + column[after[open_ones]])
+            ended = (entry & 3) > 0
+            count[open_ones[ended]] += 1
+            state[open_ones] = entry - (entry & 3)
+            open_ones = open_ones[~ended]
+            after[open_ones] += 1
+        out = np.empty_like(count), np.empty_like(after)
+        out[0][order], out[1][order] = count, after
+        return out
+
     def phrases(self, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases by row and language."""
-        rows = len(offsets) - 1
-        sizes = np.diff(offsets)
-        pieces = -(-sizes // SEGMENT)
+        rows, langs = len(offsets) - 1, len(self.languages)
+        pieces = -(-np.diff(offsets) // SEGMENT)
         owner = np.repeat(np.arange(rows), pieces)
         part = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = offsets[owner] + part * SEGMENT
-        size = np.minimum(SEGMENT, offsets[owner + 1] - start)
-        order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
-        column = np.append(self.column[code], 0)
-        lanes, langs = len(owner), len(self.languages)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], lanes, 1)
-        count = np.zeros((langs, lanes), np.int32)
-        for step in range(int(size.max(initial=0))):
-            n = int(np.searchsorted(-size, -step, side="left"))  # lanes longer than step
-            symbol = column[start[:n] + step].astype(np.int32)
-            entry = self.table.take(state[:, :n] + symbol)
-            ended = entry & 3
-            count[:, :n] += ended
-            state[:, :n] = entry - ended
-        count += state != np.array(self.roots, np.int32)[:, None]
+        start, end = offsets[owner] + part * SEGMENT, offsets[owner + 1]
+        stop = np.minimum(start + SEGMENT, end)
+        column = np.append(self.column[code], 0).astype(np.int32)
+        lanes = len(owner)
+        root = np.repeat(np.array(self.roots, np.int32), lanes)
+        begin, stop, end, first = np.tile(start, langs), np.tile(stop, langs), np.tile(end, langs), np.tile(part == 0, langs)
+        count, after = np.zeros(langs * lanes, np.int64), np.zeros(langs * lanes, np.int64)
+        todo = np.arange(langs * lanes)
+        while len(todo):
+            count[todo], after[todo] = self._walk(column, root[todo], begin[todo], stop[todo], end[todo])
+            wanted = np.where(first, begin, np.concatenate([begin[:1], after[:-1]]))
+            todo = np.flatnonzero(wanted != begin)
+            begin = wanted
         out = np.zeros((rows, langs))
         for k in range(langs):
-            out[:, k] = np.bincount(owner, count[k], minlength=rows)
+            out[:, k] = np.bincount(owner, count[k * lanes : (k + 1) * lanes], minlength=rows)
         return out
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Parser:
-    """Automata from a bounded sample of labelled documents: the first ones of each language by a hash of the id."""
-    chance = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "id"), "id")
-    named = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang")).where("lang is not null and id is not null")
-    chosen = named.withColumn("rank", F.row_number().over(chance)).where(F.col("rank") <= LABELLED_DOCUMENTS).select("id", "rank")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    labelled: dict[str, list[bytes]] = {}
-    for row in sorted(rows.join(F.broadcast(chosen), "id").collect(), key=lambda r: (r["lang"], r["rank"], r["text"])):
-        labelled.setdefault(row["lang"], []).append(row["text"].lower().encode())
+    """Automata from a bounded sample of whole labelled documents: the first ones of each language by a hash of the id that
+    fit into ``LABELLED_BYTES`` together; a language with none so short gives one."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and id is not null and text is not null")
+    sized = rows.select("id", "lang", F.octet_length("text").alias("size"))
+    chance = Window.partitionBy("lang").orderBy(F.col("size") > LABELLED_BYTES, F.xxhash64(F.lit(3), "id"), "id", "size")
+    first = sized.withColumn("rank", F.row_number().over(chance)).where(F.col("rank") <= LABELLED_DOCUMENTS)
+    total = F.sum("size").over(Window.partitionBy("lang").orderBy("rank"))
+    chosen = first.withColumn("total", total).where((F.col("total") <= LABELLED_BYTES) | (F.col("rank") == 1)).select("id", "lang", "size").distinct()
+    same = rows.withColumn("size", F.octet_length("text")).join(F.broadcast(chosen), ["id", "lang", "size"]).select("lang", "id", "text").distinct()
+    labelled: dict[str, list[str]] = {}
+    for row in sorted(same.collect(), key=lambda r: (r["lang"], r["id"], r["text"])):
+        labelled.setdefault(row["lang"], []).append(row["text"])
     texts = {}
     for language, own in labelled.items():
-        code, _ = symbols(*K.column_bytes(pa.array([b" ".join(own)], pa.binary())))
+        code, _ = symbols(*K.column_bytes(pc.utf8_lower(pa.array([" ".join(own)], pa.string()))))
         if len(code):
-            texts[language] = code[:LABELLED_SYMBOLS].tobytes()
+            texts[language] = code.tobytes()
     return Parser(texts)
 
 
