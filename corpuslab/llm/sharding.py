@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.staging import free_names, parallelism
 
-#: Blocks and slot groups are bounded, whatever the input: the matrix has at most this many cells.
-MATRIX_CELLS = 1 << 17
+#: Rows that a block should hold, and cells that the matrix, which the driver draws, has at most.
+BLOCK_ROWS, MATRIX_CELLS = 50_000, 1 << 20
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -75,7 +75,7 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, blo
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
     keys = keys or [c for c, kind in docs.dtypes if "map<" not in kind and kind not in ("variant", "void")]
-    blocks = min(blocks or max(64, parallelism(spark)), MATRIX_CELLS // n_shards)
+    blocks = max(1, min(blocks or max(64, parallelism(spark), docs.count() // BLOCK_ROWS), MATRIX_CELLS // n_shards))
     block, row, copy, rank, cuts, group, within, base = free_names(docs, "block", "row", "copy", "rank", "cuts", "group", "within", "base")
 
     def draw(salt: int) -> Column:
