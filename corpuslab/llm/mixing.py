@@ -4,8 +4,8 @@ Every source gets a target number of words. A document of a source should be tak
 follows its importance and the factor that brings the source to its target. ``floor(e)`` whole copies are certain. The
 fraction that is left is an inclusion probability p, and the documents are ranked by their random odds divided by their
 inclusion odds, (u/(1-u)) / (p/(1-p)). The first ones in this order, as many words as the source still lacks, get one
-more copy: a sample of fixed size with unequal probabilities. Two closing documents, each the one whose size is nearest to
-the words still open, follow.
+more copy: a sample of fixed size with unequal probabilities. The next one in this order closes the sample if that brings
+the sum nearer to the words still open.
 
 The order is never sorted as a whole: the rank is cut into buckets, sums by bucket locate the boundary of each source,
 and only the rows of the boundary bucket are ordered. So a source with a third of all rows costs no more than others.
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from corpuslab.llm.sharding import small_table
 from corpuslab.llm.staging import staged
 
-#: Closing documents of a source.
-CLOSING = 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -110,16 +108,9 @@ def copies(rows: DataFrame, light: DataFrame, share: float = 1.5, weights: tuple
     unit = unit.groupBy("s", "odds", "mix_draw").agg(F.sum("mix_size").alias("words"), F.first("before").alias("before"), F.first("o").alias("o"))
     upto = Window.partitionBy("s").orderBy("odds", "mix_draw").rowsBetween(Window.unboundedPreceding, 0)
     unit = unit.withColumn("upto", F.col("before") + F.sum("words").over(upto))
-    taken = staged(unit.where("upto <= o").select("s", "mix_draw", "words"), "mix-taken")
-    # Closing documents: twice the one of each source nearest in size to the words still open, if it brings the sum nearer.
-    for _ in range(CLOSING):
-        reached = taken.groupBy("s").agg(F.sum("words").alias("got")).select(F.col("s").alias("rs"), "got")
-        rest = chance.join(F.broadcast(edge), F.col("s").eqNullSafe(F.col("es"))).where("bucket >= edge")
-        rest = rest.join(F.broadcast(reached), F.col("s").eqNullSafe(F.col("rs")), "left").withColumn("gap", F.col("o") - F.col("before") - F.coalesce("got", F.lit(0)))
-        rest = rest.join(taken.select(F.col("s").alias("ts"), F.col("mix_draw").alias("td")), F.col("s").eqNullSafe(F.col("ts")) & (F.col("mix_draw") == F.col("td")), "left_anti")
-        rest = rest.where("mix_size < 2 * gap").groupBy("s", "mix_draw").agg(F.sum("mix_size").alias("words"), F.first("gap").alias("gap")).where("words < 2 * gap")
-        closing = rest.groupBy("s").agg(F.min_by(F.struct("mix_draw", "words"), F.struct(F.abs(F.col("words") - F.col("gap")), "mix_draw")).alias("c"))
-        taken = staged(taken.union(closing.select("s", "c.mix_draw", "c.words")), "mix-taken")
+    # The one that passes the words still open counts if it ends nearer to them than its forerunner.
+    nearer = "upto <= o or (upto - words <= o and upto - o < o - (upto - words))"
+    taken = staged(unit.where(nearer).select("s", "mix_draw", "words"), "mix-taken")
     extra = taken.select(F.col("s").alias("xs"), F.col("mix_draw").alias("xd"))
 
     out = ranked(rows).join(F.broadcast(edge.select("es", "edge")), F.col("s").eqNullSafe(F.col("es")), "left")
