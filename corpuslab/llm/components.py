@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.staging import staged
-
-#: Up to so many edges (16 bytes each) a step runs in one task, which saves its shuffles; above, it is distributed.
-ONE_TASK = 200_000
+from corpuslab.llm.staging import replaced, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,11 +26,10 @@ def connected_components(edges: DataFrame, name: str = "components", most_steps:
     Loops and repeated edges are harmless; an empty input gives an empty result. Each step is written to the shared
     folder, so lineage stays short and a lost executor repeats one step at most.
     """
-    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
-    small = edges.count() <= ONE_TASK
+    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     for _ in range(most_steps):
-        edges = staged(_star(_star((edges.coalesce(1) if small else edges).distinct(), True), False), name)
+        edges = replaced(edges, staged(_star(_star(edges, True), False), name))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
