@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -11,7 +9,10 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 
-SENTENCE_GAP = r"(?<=[.!?…;:])\s+(?=[«\"(]?[A-ZÀ-ÖØ-Þ0-9])"
+#: Where a sentence ends: an end mark, space, and a capital of any alphabet or a digit behind it, perhaps quoted.
+SENTENCE_GAP = r"(?<=[.!?…;:])\s+(?=[«\"(]?[\p{Lu}0-9])"
+#: The same without colons and semicolons.
+STRICT_GAP = r"(?<=[.!?…])\s+(?=[«\"(]?[\p{Lu}0-9])"
 #: Abbreviations whose full stop does not end a sentence.
 ABBREVIATIONS = ["e.g", "i.e", "etc", "vs", "cf", "fig", "no", "vol", "dr", "mr", "mrs", "ms", "st", "bzw", "z.b", "d.h", "usw", "nr", "art", "av", "p.ex", "sr", "sra", "ej", "т.е", "т.д", "т.п", "др", "г", "гг", "ст", "п", "пп", "рис", "табл", "см", "им", "ул"]
 
@@ -22,12 +23,12 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.posexplode(F.split(F.col(text), r"\n+")).alias("para_no", "par"))
 
 
-def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row a sentence by the plain splitter: an end mark, space, and a capital or digit behind it."""
+def sentences(docs: DataFrame, text: str = "text", gap: str = SENTENCE_GAP) -> DataFrame:
+    """One row a sentence by the plain splitter, which cuts at every ``gap``."""
     pars = paragraphs(docs, text)
     keep = [c for c in pars.columns if c != "par"]
     one_line = F.trim(F.regexp_replace("par", r"\s+", " "))
-    return pars.select(*keep, F.posexplode(F.split(one_line, SENTENCE_GAP)).alias("sent_no", "sentence"))
+    return pars.select(*keep, F.posexplode(F.split(one_line, gap)).alias("sent_no", "sentence"))
 
 
 def word_rows(df: DataFrame, text: str = "text") -> DataFrame:
@@ -83,18 +84,3 @@ def length_bucket(n: Column) -> Column:
 def paragraph_kind(in_table: Column, style: Column, marker: Column) -> Column:
     """table before heading before list before body."""
     return F.when(in_table, "table").when(F.lower(style).startswith("heading"), "heading").when(marker != "", "list").otherwise("body")
-
-
-def batches_of_pages(rows: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Regroup Arrow batches to ``size`` rows, as a model stage wants them."""
-    held: list[pd.DataFrame] = []
-    for rest in rows:
-        while len(rest):
-            need = size - sum(map(len, held))
-            held.append(rest.iloc[:need])
-            rest = rest.iloc[need:]
-            if sum(map(len, held)) == size:
-                yield pd.concat(held)
-                held = []
-    if held:
-        yield pd.concat(held)

@@ -45,12 +45,13 @@ def split_name(key: Column, dev: int = 10, test: int = 20) -> Column:
 
 def cascade(df: DataFrame, key: Column, known: list[tuple[str, DataFrame]], *order: Column) -> DataFrame:
     """Rows with ``reason``: the first known set that holds the key, ``duplicate`` for all but the first row of a key, or ``kept``."""
-    out = df.withColumn("_k", key)
+    hashed = lambda c: F.unhex(F.md5(c))  # 16 bytes move and are compared, not texts
+    out = df.withColumn("_k", hashed(key))
     reasons = []
     for i, (name, keys) in enumerate(known):
-        out = out.join(keys.select(F.col(keys.columns[0]).alias("_k"), F.lit(True).alias(f"_in{i}")).distinct(), "_k", "left")
+        out = out.join(keys.select(hashed(F.col(keys.columns[0])).alias("_k"), F.lit(True).alias(f"_in{i}")).distinct(), "_k", "left")
         reasons.append(F.when(F.col(f"_in{i}"), name))
-    # The first row of a key by an aggregate, not a window: a hot key costs a row a task, and the join back is split by AQE.
-    first = df.select(key.alias("_k"), F.struct(*order).alias("_o")).groupBy("_k").agg(F.min("_o").alias("_first"))
-    out = out.join(first, "_k", "left").withColumn("_later", F.struct(*order) != F.col("_first"))
+    # The first row of a key by an aggregate, not a window: a hot key costs a row a task. Only keys that repeat are joined back.
+    first = df.select(hashed(key).alias("_k"), F.struct(*order).alias("_o")).groupBy("_k").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    out = out.join(first, "_k", "left").withColumn("_later", F.coalesce(F.struct(*order) != F.col("_first"), F.lit(False)))
     return out.withColumn("reason", F.coalesce(*reasons, F.when(F.col("_later"), "duplicate"), F.lit("kept"))).drop("_k", "_later", "_first", *[f"_in{i}" for i in range(len(known))])

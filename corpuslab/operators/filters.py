@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as T
 
 
-def checkable(s: Column, least_words: int = 5, most_words: int = 60, letter_share: float = 0.6, digit_share: float = 0.15) -> Column:
-    """A sentence fit for checking: of a usual length, mostly letters, few digits, no table remains, an end mark."""
+def checkable(s: Column, least_words: int = 5, most_words: int = 60, letter_share: float = 0.6, digit_share: float = 0.15, script: str = r"\p{L}", foreign: str | None = None, foreign_share: float = 0.1, marks: str = "|=") -> Column:
+    """A sentence fit for checking: of a usual length, mostly letters of ``script``, few of a ``foreign`` one and few digits,
+    no table remains (``marks``), an end mark."""
     n = F.size(F.split(F.trim(s), " "))
     solid = F.length(F.replace(s, F.lit(" "), F.lit("")))
-    plain = ~(s.contains("\t") | s.contains("....") | s.contains("|") | s.contains("="))
-    return n.between(least_words, most_words) & (T.share(T.letters(s), solid) >= letter_share) & (T.share(F.regexp_count(s, F.lit("[0-9]")), solid) <= digit_share) & plain & F.right(s, F.lit(1)).isin(*".!?…:;")
+    plain = ~(s.contains("\t") | s.contains("...."))
+    for mark in marks:
+        plain = plain & ~s.contains(mark)
+    own = F.regexp_count(s, F.lit(script))
+    if foreign:
+        plain = plain & (T.share(F.regexp_count(s, F.lit(foreign)), T.letters(s)) <= foreign_share)
+    return n.between(least_words, most_words) & (T.share(own, solid) >= letter_share) & (T.share(F.regexp_count(s, F.lit("[0-9]")), solid) <= digit_share) & plain & F.right(s, F.lit(1)).isin(*".!?…:;")
 
 
 def balanced(s: Column) -> Column:
@@ -25,8 +31,8 @@ def balanced(s: Column) -> Column:
     return out
 
 
-def drop_reason(s: Column, duplicate: Column) -> Column:
-    """The first reason that applies, or ``kept``: cheap tests come first."""
+def drop_reason(s: Column) -> Column:
+    """The first reason that applies to a sentence by itself, or ``kept``."""
     n, size = T.word_count(s), F.length(s)
     solid = F.length(F.replace(s, F.lit(" "), F.lit("")))
     return (
@@ -35,7 +41,6 @@ def drop_reason(s: Column, duplicate: Column) -> Column:
         .when(T.share(T.letters(s), solid) < 0.8, "letters")
         .when(s.contains("|") | s.contains("="), "mark")
         .when(~balanced(s), "unbalanced")
-        .when(duplicate, "duplicate")
         .otherwise("kept")
     )
 

@@ -6,8 +6,13 @@ A pattern is matched by the regex engine of the JVM, so a pack runs inside the p
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,28 +46,47 @@ RUSSIAN = [
     Rule("IZ_ZA", "error", r"(?iU)\b(из) (за|под)\b", "$1-$2"),
     Rule("IH_NIH", "error", r"(?iU)\bих них\b", "из них"),
     Rule("TAKZHE", "check", r"(?iU)\b(так) (же)\b(?! как)", "$1$2"),
-    Rule("LOCAL_NET", "error", r"(?iU)\b(локально)-(вычислительн\p{L}+)", "$1 $2"),
+    Rule("LOCAL_NET", "error", r"(?iU)\b(локальн)о-(вычислительн)(ая|ой|ую|ою)\b", "$1$3 $2$3"),
     Rule("NUM_ADJ", "error", r"(?iU)\b(\d+) (часовой|летний|дневный|кратный|этажный|процентный)\b", "$1-$2"),
     Rule("ABOVE_JOIN", "error", r"(?iU)\b(выше|ниже) (указанн\p{L}+|перечисленн\p{L}+|изложенн\p{L}+)", "$1$2"),
 ]
 LATIN_LIKE, CYRILLIC_LIKE = "aceopxyABCEHKMOPTX", "асеорхуАВСЕНКМОРТХ"
 
 
+@lru_cache(maxsize=1)
+def _places() -> Callable[[Column, Column], Column]:
+    """Arrow function: from the lengths of the parts between matches and of the matches, where each match starts."""
+
+    def run(parts: pa.Array, hits: pa.Array) -> pa.Array:
+        n = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (parts, hits)]
+        part, hit = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (parts, hits))
+        row = np.repeat(np.arange(len(n[1])), n[1])
+        within = np.arange(len(hit)) - np.repeat(np.cumsum(n[1]) - n[1], n[1])
+        first = (np.cumsum(n[0]) - n[0])[row]  # the part before the first match of the row
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (part, hit)]
+        start = sums[0][first + within + 1] - sums[0][first] + sums[1][np.arange(len(hit))] - sums[1][np.arange(len(hit)) - within]
+        offsets = np.concatenate([[0], np.cumsum(n[1])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(start.astype(np.int32)))
+
+    return F.arrow_udf(run, "array<int>")
+
+
+def pattern_spans(text: Column, rule: Rule) -> Column:
+    """Array of the rule's findings (start, end, rank, rule, fix) in a text, by start: matches by the JVM, their places by
+    prefix sums over lengths, all in the row."""
+    hits = F.coalesce(F.regexp_extract_all(text, F.lit(rule.pattern), 0), F.array().cast("array<string>"))
+    parts = F.coalesce(F.split(text, rule.pattern, -1), F.array().cast("array<string>"))
+    starts = _places()(F.transform(parts, lambda p: F.length(p)), F.transform(hits, lambda h: F.length(h)))
+    fix = lambda h: F.lit(None).cast("string") if rule.fix is None else F.lit(rule.fix) if "$" not in rule.fix else F.regexp_replace(h, _bare(rule.pattern), rule.fix)
+    one = lambda h, a: F.struct(a.alias("start"), (a + F.length(h)).cast("int").alias("end"), F.lit(LEVELS[rule.level]).alias("rank"), F.lit(rule.name).alias("rule"), fix(h).alias("fix"))
+    return F.zip_with(hits, starts, one)
+
+
 def pattern_findings(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
-    """One row a match: the columns of ``df`` without the text, then start, end, rank, rule and fix."""
+    """One row a match: the columns of ``df`` without the text, then start, end, rank, rule and fix. One pass over the rows for all rules."""
     keep = [c for c in df.columns if c != text]
-    out = None
-    for rule in rules:
-        hits = F.regexp_extract_all(F.col(text), F.lit(rule.pattern), 0)
-        parts = F.split(F.col(text), rule.pattern, -1)
-        rows = df.where(F.col(text).rlike(rule.pattern)).select(*keep, hits.alias("_hits"), parts.alias("_parts"))
-        rows = rows.select(*keep, "_parts", F.posexplode("_hits").alias("_i", "_hit"), "_hits")
-        before = F.expr("aggregate(slice(_parts, 1, _i + 1), 0, (n, p) -> n + length(p)) + aggregate(slice(_hits, 1, _i), 0, (n, h) -> n + length(h))")
-        rows = rows.withColumn("start", before.cast("int"))
-        fix = F.lit(None).cast("string") if rule.fix is None else F.regexp_replace("_hit", _bare(rule.pattern), rule.fix)
-        rows = rows.select(*keep, "start", (F.col("start") + F.length("_hit")).cast("int").alias("end"), F.lit(LEVELS[rule.level]).alias("rank"), F.lit(rule.name).alias("rule"), fix.alias("fix"))
-        out = rows if out is None else out.union(rows)
-    return out
+    found = F.concat(*[pattern_spans(F.col(text), rule) for rule in rules])
+    return df.select(*keep, F.explode(found).alias("_f")).select(*keep, "_f.*")
 
 
 def _bare(pattern: str) -> str:
@@ -93,7 +117,7 @@ def capital_mid(words: DataFrame, least: int = 2) -> DataFrame:
 def threshold_findings(predictions: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Predictions (label, p, ...) that reach their label's error or check threshold, with ``level``."""
     level = F.when(F.col("p") >= F.col("error_at"), "error").when(F.col("p") >= F.col("check_at"), "check")
-    return predictions.join(F.broadcast(thresholds.limit(1000)), "label").withColumn("level", level).where("level is not null").drop("error_at", "check_at")
+    return predictions.join(thresholds, "label").withColumn("level", level).where("level is not null").drop("error_at", "check_at")
 
 
 def quotes_around(text: Column) -> Column:

@@ -24,6 +24,37 @@ def hash_rank(df: DataFrame, by: list[str], seed: str, id_col: str, name: str =
     return keyed.withColumn("_own", own).join(counts, on).withColumn(name, F.col("_own") + F.col("_ahead")).select(*df.columns, name)
 
 
+def range_group(df: DataFrame, id_col: str, groups: int = 1024) -> Column:
+    """Number of the range of ids that a row lies in; ranges are equally wide and follow the ids' order."""
+    low, high = df.agg(F.min(id_col), F.max(id_col)).first()
+    if low is None:
+        return F.lit(0)
+    return F.floor((F.col(id_col) - low) / (high - low + 1) * groups).cast("int")
+
+
+def ordered_rank(df: DataFrame, by: list[str], id_col: str, name: str = "rank") -> DataFrame:
+    """Dense rank of each row by a numeric id within its stratum, from 1.
+
+    Rows are ranked within (stratum, range of ids) and the numbers of the ranges before are added, so a stratum with a
+    third of all rows is ranked by many tasks."""
+    keyed = df.withColumn("_group", range_group(df, id_col))
+    ahead = Window.partitionBy(*by).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(*by, "_group").agg(F.count_distinct(id_col).alias("_n"))
+    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_group").alias("_g"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    on = F.col("_group") == F.col("_g")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    own = F.dense_rank().over(Window.partitionBy(*by, "_group").orderBy(id_col))
+    return keyed.withColumn("_own", own).join(counts, on).withColumn(name, F.col("_own") + F.col("_ahead")).select(*df.columns, name)
+
+
+def tile(rank: Column, total: Column, tiles: int) -> Column:
+    """Number (from 1) of the tile that a rank falls into; the first ones have one row more where the total leaves a rest."""
+    size, rest = F.floor(total / tiles), total % tiles
+    first = rest * (size + 1)
+    return F.when(rank <= first, F.ceil(rank / (size + 1))).otherwise(rest + F.ceil((rank - first) / size)).cast("int")
+
+
 def capped(df: DataFrame, by: str, n: int, seed: str, id_col: str, repeat: int = 1) -> DataFrame:
     """At most ``n`` rows of each stratum in hash order, each ``repeat`` times (``copy`` from 1).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import hashing as H
@@ -61,11 +61,15 @@ reasons AS (SELECT lang, CASE WHEN n < 5 OR length(sentence) < 25 THEN 'short' W
   WHEN contains(sentence, '|') OR contains(sentence, '=') THEN 'mark' WHEN NOT {_BALANCED} THEN 'unbalanced' WHEN again THEN 'duplicate' ELSE 'kept' END AS reason FROM ranked)
 SELECT lang, reason, count(*) AS n FROM reasons GROUP BY ALL""")
 def drop_reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = sentences(spark, d).withColumn("key", T.match_key(F.col("sentence")))
-    place = F.struct("doc_id", "para_no", "sent_no")
-    first = rows.groupBy("key").agg(F.min(place).alias("first"))
-    marked = rows.join(first, "key").withColumn("reason", filters.drop_reason(F.col("sentence"), place != F.col("first")))
-    return marked.groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n"))
+    """Sentences are counted by key and reason before they move; of each key the group with the first place keeps one."""
+    key = F.unhex(F.md5(T.match_key(F.col("sentence")))).alias("key")
+    rows = sentences(spark, d).select(key, "lang", filters.drop_reason(F.col("sentence")).alias("reason"), F.struct("doc_id", "para_no", "sent_no").alias("place"))
+    groups = rows.groupBy("key", "lang", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    kept = (F.col("place") == F.min("place").over(Window.partitionBy("key"))).cast("long")
+    whole = F.array(F.struct("reason", "n"))
+    cut = F.array(F.struct(F.lit("kept").alias("reason"), kept.alias("n")), F.struct(F.lit("duplicate").alias("reason"), (F.col("n") - kept).alias("n")))
+    parts = groups.select("lang", F.when(F.col("reason") == "kept", cut).otherwise(whole).alias("parts")).select("lang", F.inline("parts"))
+    return parts.where("n > 0").groupBy("lang", "reason").agg(F.sum("n").alias("n"))
 
 
 @query(rf"""SELECT lang, source, count(*) AS n_docs, sum(length(text)) AS chars, round(avg(length(text)), 4) AS mean_chars,
@@ -83,10 +87,9 @@ def exact_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d, "doc_id", "text").groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
 
 
-@query(f"SELECT {sql_key('text')}[1:40] AS key_start, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY {sql_key('text')} HAVING count(*) > 1")
+@query(f"SELECT md5({sql_key('text')}) AS key, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY {sql_key('text')} HAVING count(*) > 1")
 def key_dup_groups(spark: SparkSession, d: str) -> DataFrame:
-    out = dedup.duplicate_groups(documents(spark, d, "doc_id", "text"), T.match_key(F.col("text")), "doc_id")
-    return out.select(F.substring("key", 1, 40).alias("key_start"), "first_id", "n")
+    return dedup.duplicate_groups(documents(spark, d, "doc_id", "text"), F.md5(T.match_key(F.col("text"))), "doc_id")
 
 
 @query(f"""SELECT doc_id, quality FROM (SELECT d.doc_id, coalesce(l.quality, -1) AS quality,
@@ -99,7 +102,7 @@ def prioritised_dedup_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BENCH = r"""bench AS (SELECT DISTINCT key FROM (SELECT """ + sql_key("s") + r""" AS key FROM (SELECT unnest(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
- '([.!?…;:])\s+([«"(]?[A-ZÀ-ÖØ-Þ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM benchmark)) WHERE length(key) >= 20)"""
+ '([.!?…;:])\s+([«"(]?[\p{Lu}0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM benchmark)) WHERE length(key) >= 20)"""
 
 
 def benchmark_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -177,10 +180,8 @@ def review_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT fold, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, CAST((dense_rank() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 5 AS INTEGER) AS fold FROM documents) GROUP BY fold")
 def fold_by_document(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    fold = ((F.dense_rank().over(Window.partitionBy("lang").orderBy("doc_id")) - 1) % 5).cast("int")
-    return documents(spark, d, "doc_id", "lang").withColumn("fold", fold).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+    ranked = sampling.ordered_rank(documents(spark, d, "doc_id", "lang"), ["lang"], "doc_id")
+    return ranked.withColumn("fold", ((F.col("rank") - 1) % 5).cast("int")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
 @query(f"""WITH {SQL_WORDS} SELECT lower(word) AS word, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM words GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5""")
@@ -194,40 +195,43 @@ def capital_share(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.capital_share(words(spark, d), 5)
 
 
-_VOCAB = f"WITH {SQL_WORDS}, vocab AS (SELECT lower(word) AS word, count(*) AS n FROM words WHERE regexp_full_match(word, '[A-Za-z]+') GROUP BY 1)"
+_VOCAB = rf"WITH {SQL_WORDS}, vocab AS (SELECT lower(word) AS word, count(*) AS n FROM words WHERE regexp_full_match(word, '\pL+') GROUP BY 1)"
+#: The distance in letters: that of SQL counts bytes, so letters of two bytes are written as one.
+_APART = lambda a, b: f"levenshtein({_letters(a)}, {_letters(b)})"
+_letters = lambda x: f"translate({x}, 'àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœ', '0123456789!#$%&()*+,-./:;<=>?@[]^_~')"
 
 
-def ascii_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.vocabulary(words(spark, d).where(F.col("word").rlike("^[A-Za-z]+$")))
+def letter_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.vocabulary(words(spark, d).where(F.col("word").rlike(r"^\p{L}+$")))
 
 
 @query(f"""{_VOCAB}, cuts AS (SELECT word, unnest(range(2, length(word) - 1)) AS at FROM vocab WHERE n = 1 AND length(word) >= 4),
 halves AS (SELECT c.word, c.word[1:c.at] AS l, c.word[c.at + 1:] AS r, least(a.n, b.n) AS k FROM cuts c JOIN vocab a ON a.word = c.word[1:c.at] AND a.n >= 20 JOIN vocab b ON b.word = c.word[c.at + 1:] AND b.n >= 20)
 SELECT word, l AS left, r AS right FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY k DESC, length(l) DESC, l DESC) AS o FROM halves) WHERE o = 1""")
 def glued_words_split(spark: SparkSession, d: str) -> DataFrame:
-    vocab = ascii_vocabulary(spark, d)
+    vocab = letter_vocabulary(spark, d)
     return lexicon.split_glued(vocab.where("n = 1"), vocab.where("n >= 20"))
 
 
 @query(f"""{_VOCAB}, near AS (SELECT a.word, b.word AS suggestion, b.n FROM vocab a JOIN vocab b ON a.word[1] = b.word[1] AND abs(length(a.word) - length(b.word)) <= 1 AND a.word <> b.word
- WHERE a.n <= 2 AND length(a.word) >= 5 AND b.n >= 20 AND levenshtein(a.word, b.word) = 1)
+ WHERE a.n <= 2 AND length(a.word) >= 5 AND b.n >= 20 AND {_APART('a.word', 'b.word')} = 1)
 SELECT word, suggestion, n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, suggestion) AS o FROM near) WHERE o = 1""")
 def typo_suggest(spark: SparkSession, d: str) -> DataFrame:
-    vocab = ascii_vocabulary(spark, d)
+    vocab = letter_vocabulary(spark, d)
     return lexicon.suggest(vocab.where("n <= 2 and length(word) >= 5"), vocab.where("n >= 20"))
 
 
 @query(f"""{_VOCAB} SELECT a.word, b.word AS suggestion, b.n FROM vocab a JOIN vocab b ON a.word[1] = b.word[1] AND a.word <> b.word
- WHERE a.n >= 50 AND b.n >= 50 AND levenshtein(a.word, b.word) = 1""")
+ WHERE a.n >= 50 AND b.n >= 50 AND {_APART('a.word', 'b.word')} = 1""")
 def levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
-    vocab = ascii_vocabulary(spark, d).where("n >= 50")
+    vocab = letter_vocabulary(spark, d).where("n >= 50")
     return lexicon.one_edit_pairs(vocab, vocab)
 
 
 @query(f"""{_VOCAB}, known AS (SELECT word FROM vocab WHERE n >= 3) SELECT doc_id, count(*) AS n_unknown FROM words
- WHERE regexp_full_match(word, '[A-Za-z]+') AND lower(word) NOT IN (SELECT word FROM known) GROUP BY doc_id""")
+ WHERE regexp_full_match(word, '\\pL+') AND lower(word) NOT IN (SELECT word FROM known) GROUP BY doc_id""")
 def dictionary_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    rows = words(spark, d).where(F.col("word").rlike("^[A-Za-z]+$")).withColumn("word", F.lower("word"))
+    rows = words(spark, d).where(F.col("word").rlike(r"^\p{L}+$")).withColumn("word", F.lower("word"))
     known = lexicon.vocabulary(rows, 3).select("word")
     return rows.join(known, "word", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_unknown"))
 
@@ -263,8 +267,6 @@ def feature_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SQL_SENTENCES}, {_FEATURES} SELECT feature, value, n, round(n / sum(n) OVER (PARTITION BY feature), 6) AS share FROM (SELECT feature, value, count(*) AS n FROM long GROUP BY ALL)""")
 def feature_share(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     counts = feature_rows(spark, d).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("feature")), 6))
 
@@ -294,9 +296,9 @@ def html_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return readers.html_paragraphs(readers.table(spark, d, "pages").select("page_id", "html")).select("page_id", F.col("para_no").cast("long"), "par")
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(text, 'ёЁ–—−«»„“”', 'еЕ---\"\"\"\"\"'), '(\p{Lu}\.) (\p{Lu}\.)', '\1\2', 'g'), '\s+', ' ', 'g'))[1:200] AS start FROM documents".replace('\\"', '"'))
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(translate(text, 'ёЁ–—−«»„“”', 'еЕ---\"\"\"\"\"'), '(\p{Lu}\.) (\p{Lu}\.)', '\1\2', 'g'), '\s+', ' ', 'g'))) AS normal FROM documents".replace('\\"', '"'))
 def normalised_text(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d, "doc_id", "text").select("doc_id", F.substring(T.normal(F.col("text")), 1, 200).alias("start"))
+    return documents(spark, d, "doc_id", "text").select("doc_id", F.md5(T.normal(F.col("text"))).alias("normal"))
 
 
 @query()

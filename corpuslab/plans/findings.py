@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
-from corpuslab.operators import diff, rules, spans, synth
+from corpuslab.operators import diff, rules, sampling, spans, synth
 from corpuslab.plans.corpus import documents, sentences, words
 from corpuslab.plans.registry import SQL_SENTENCES, SQL_WORDS, query, sql_count, sql_key
 from corpuslab.sources import readers
@@ -134,11 +134,8 @@ def merge_findings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH m AS (SELECT doc_id, regexp_replace(text, '[%$*&#!|]{2,}', '', 'g') AS fixed FROM documents) SELECT doc_id, md5(fixed) AS fixed FROM m""")
 def apply_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of a rule collected by document and applied from right to left."""
-    docs = documents(spark, d, "doc_id", "text")
-    found = rules.pattern_findings(docs, "text", [rules.MARK_RUN])
-    by_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "rank", "rule", "fix"))).alias("found"))
-    rows = docs.join(by_doc, "doc_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:int,end:int,rank:int,rule:string,fix:string>>")))
+    """Findings of a rule, in the row of their document, and applied there."""
+    rows = documents(spark, d, "doc_id", "text").withColumn("found", rules.pattern_spans(F.col("text"), rules.MARK_RUN))
     return spans.apply_fixes(rows, "text", "found", "fixed").select("doc_id", F.md5("fixed").alias("fixed"))
 
 
@@ -149,36 +146,25 @@ def coordinate_shift(spark: SparkSession, d: str) -> DataFrame:
     return spans.shifted(rows, ["doc_id"]).select("doc_id", "start", "shift")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the next one by id whose key starts the same way, as (src, gold)."""
-    docs = documents(spark, d, "doc_id", "text").withColumn("head", F.substring(T.match_key(F.col("text")), 1, 60))
-    w = Window.partitionBy("head").orderBy("doc_id")
-    return docs.withColumn("gold", F.lead("text").over(w)).where("gold is not null").select("doc_id", F.col("text").alias("src"), "gold")
-
-
-def near_copies(spark: SparkSession, d: str) -> DataFrame:
-    """Every near copy, by its whole text, with the document of the smallest id in its component: (doc_id, src, gold)."""
-    from corpuslab.llm import near_dedup
-    from corpuslab.llm.staging import staged
-
-    docs = documents(spark, d, "doc_id", "text")
-    found = near_dedup.near_duplicates(docs, width=2).where("doc_id <> component_id").select("doc_id", "component_id")
-    found = staged(found, "copies-found")
-    heads = found.select("component_id").distinct().join(docs.select(F.col("doc_id").alias("component_id"), F.col("text").alias("gold")), "component_id")
-    heads = staged(heads, "copies-heads")  # a written side lets AQE split the other
-    return docs.withColumnRenamed("text", "src").join(found, "doc_id").join(heads, "component_id").select("doc_id", "src", "gold")
-
-
 @query()
 def token_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Token edits of near copies with their kinds."""
-    rows = diff.edit_rows(near_copies(spark, d), "src", "gold")
-    return rows.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """Token edits between corrupted sentences and their originals by kind, and how many labels the corruption left."""
+    rows = sentences(spark, d).withColumn("key", F.concat_ws(":", "doc_id", "para_no", "sent_no"))
+    out = synth.corrupted(rows, "sentence", "key", "seed-1").select("lang", F.col("corrupted.text").alias("src"), F.col("sentence").alias("gold"), "corrupted.comma")
+    labels = out.groupBy("lang").agg(F.sum(F.size(F.filter("comma", lambda x: x != "KEEP"))).alias("n_labels"))
+    edits = diff.edit_rows(out.where("src <> gold").select("lang", "src", "gold"), "src", "gold")
+    return edits.groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n")).join(labels, "lang")
 
 
-@query(f"""WITH p AS (SELECT doc_id, text AS src, lead(text) OVER (PARTITION BY {sql_key('text')}[1:60] ORDER BY doc_id) AS gold FROM documents) SELECT doc_id, length(src) AS n_src, length(gold) AS n_gold, src = gold AS clean FROM p WHERE gold IS NOT NULL""")
+@query(f"""WITH k AS (SELECT doc_id, text, {sql_key('text')} AS key FROM documents), f AS (SELECT key, min(doc_id) AS first_id FROM k GROUP BY key)
+SELECT k.doc_id, first_id, length(k.text) AS n_src, length(g.text) AS n_gold, k.text = g.text AS clean FROM k JOIN f USING (key) JOIN k g ON g.doc_id = first_id WHERE k.doc_id <> first_id""")
 def near_copy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("doc_id", F.length("src").cast("long").alias("n_src"), F.length("gold").cast("long").alias("n_gold"), (F.col("src") == F.col("gold")).alias("clean"))
+    """Every document whose whole match key was there before, with the first one of that key; texts stay where they are."""
+    text = F.col("text")
+    rows = documents(spark, d, "doc_id", "text").select("doc_id", F.length(text).cast("long").alias("size"), F.md5(text).alias("text_md5"), F.md5(T.match_key(text)).alias("key"))
+    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "size", "text_md5")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = rows.join(first, "key").where("doc_id <> f.doc_id")
+    return pairs.select("doc_id", F.col("f.doc_id").alias("first_id"), F.col("size").alias("n_src"), F.col("f.size").alias("n_gold"), (F.col("text_md5") == F.col("f.text_md5")).alias("clean"))
 
 
 @query(f"""WITH {SQL_SENTENCES} SELECT lang, count(*) AS n, count(*) AS n_restored FROM sentences GROUP BY lang""")
@@ -209,12 +195,14 @@ def equal_runs(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH marks AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) % 3 = 0 AS open FROM documents)
 SELECT a.doc_id, a.source, coalesce((SELECT min(b.doc_id) FROM marks b WHERE b.source = a.source AND b.open AND b.doc_id > a.doc_id), (SELECT min(b.doc_id) FROM marks b WHERE b.source = a.source AND b.open)) AS next_open FROM marks a""")
 def next_open_mark(spark: SparkSession, d: str) -> DataFrame:
-    """The next open mark, wrapping around: one window, no self-join."""
-    w = Window.partitionBy("source")
-    rows = documents(spark, d, "doc_id", "source").withColumn("open", F.row_number().over(w.orderBy("doc_id")) % 3 == 0)
-    mark = F.when(F.col("open"), F.col("doc_id"))
-    following = F.first(mark, ignorenulls=True).over(w.orderBy("doc_id").rowsBetween(1, Window.unboundedFollowing))
-    return rows.select("doc_id", "source", F.coalesce(following, F.min(mark).over(w)).alias("next_open"))
+    """The next open mark, wrapping around: within a range of ids by a window, from range to range by their first marks."""
+    docs = documents(spark, d, "doc_id", "source")
+    rows = sampling.ordered_rank(docs, ["source"], "doc_id").withColumns({"mark": F.when(F.col("rank") % 3 == 0, F.col("doc_id")), "part": sampling.range_group(docs, "doc_id")})
+    parts, w = rows.groupBy("source", "part").agg(F.min("mark").alias("first")), Window.partitionBy("source")
+    later = F.first("first", ignorenulls=True).over(w.orderBy("part").rowsBetween(1, Window.unboundedFollowing))
+    parts = parts.select("source", "part", F.coalesce(later, F.min("first").over(w)).alias("later"))
+    own = F.first("mark", ignorenulls=True).over(Window.partitionBy("source", "part").orderBy("doc_id").rowsBetween(1, Window.unboundedFollowing))
+    return rows.withColumn("own", own).join(parts, ["source", "part"]).select("doc_id", "source", F.coalesce("own", "later").alias("next_open"))
 
 
 def finding_events(spark: SparkSession, d: str) -> DataFrame:
@@ -246,7 +234,7 @@ def stream_findings_upsert(spark: SparkSession, d: str) -> DataFrame:
     from corpuslab.streaming import events, findings as stream
 
     rows = finding_columns(events.event_stream(spark, d))
-    return events.drained(stream.upserted(rows), "update")
+    return events.drained(stream.upserted(rows), "update", stream.KEYS)
 
 
 @query(f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN quality = 1 THEN 'good' WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'bad' ELSE 'unlabelled' END AS reason FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY reason")

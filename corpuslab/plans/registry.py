@@ -33,7 +33,7 @@ SQL_SENTENCES = r"""pars AS (SELECT doc_id, lang, source, i - 1 AS para_no, l[i]
   FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, lang, source, string_split_regex(text, '\n+') AS l FROM documents))),
 sentences AS (SELECT doc_id, lang, source, para_no, j - 1 AS sent_no, m[j] AS sentence
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS j FROM (SELECT doc_id, lang, source, para_no,
-    string_split(regexp_replace(trim(regexp_replace(par, '\s+', ' ', 'g')), '([.!?…;:])\s+([«"(]?[A-ZÀ-ÖØ-Þ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS m FROM pars)))"""
+    string_split(regexp_replace(trim(regexp_replace(par, '\s+', ' ', 'g')), '([.!?…;:])\s+([«"(]?[\p{Lu}0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS m FROM pars)))"""
 
 
 def sql_key(text: str) -> str:

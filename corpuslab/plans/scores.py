@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import hashing as H
@@ -23,12 +23,7 @@ def scored_words(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("p", p).withColumn("gold", (g + p) / 2 > 0.7)
 
 
-def places(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth word, as the SQL twins have it."""
-    return scored_words(spark, d).where("word_no % 10 = 0")
-
-
-_PLACES = f"WITH {SQL_WORDS}, places AS (SELECT doc_id, lang, word_no, {_P} AS p, ({_G} + {_P}) / 2 > 0.7 AS gold FROM words WHERE word_no % 10 = 0)"
+_PLACES = f"WITH {SQL_WORDS}, places AS (SELECT doc_id, lang, word_no, {_P} AS p, ({_G} + {_P}) / 2 > 0.7 AS gold FROM words)"
 _F05 = "CASE WHEN tp > 0 THEN round(1.25 * (tp / greatest(1, tp + fp)) * (tp / greatest(1, tp + fn)) / (0.25 * (tp / greatest(1, tp + fp)) + tp / greatest(1, tp + fn)), 6) ELSE 0 END"
 _GRID = f"""grid AS (SELECT lang, t AS threshold, count(*) FILTER (WHERE p >= t AND gold) AS tp, count(*) FILTER (WHERE p >= t AND NOT gold) AS fp, count(*) FILTER (WHERE p < t AND gold) AS fn
  FROM places, (SELECT unnest({THRESHOLDS}) AS t) GROUP BY ALL)"""
@@ -38,7 +33,7 @@ _GRID = f"""grid AS (SELECT lang, t AS threshold, count(*) FILTER (WHERE p >= t
 c AS (SELECT lang, count(*) FILTER (WHERE a AND b) AS tp, count(*) FILTER (WHERE b AND NOT a) AS fp, count(*) FILTER (WHERE a AND NOT b) AS fn FROM j GROUP BY lang)
 SELECT *, round(tp / greatest(1, tp + fp), 3) AS precision, round(tp / greatest(1, tp + fn), 3) AS recall FROM c""")
 def edit_score_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    rows = places(spark, d)
+    rows = scored_words(spark, d)
     keys = ["doc_id", "lang", "word_no"]
     both = scoring.matched(rows.where("gold").select(keys), rows.where("p >= 0.8").select(keys), keys)
     return scoring.precision_recall(both, ["lang"])
@@ -46,24 +41,24 @@ def edit_score_full_outer(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_PLACES}, {_GRID} SELECT *, {_F05} AS f05 FROM grid")
 def threshold_grid_f05(spark: SparkSession, d: str) -> DataFrame:
-    table = scoring.threshold_table(places(spark, d), THRESHOLDS, ["lang"])
+    table = scoring.threshold_table(scored_words(spark, d), THRESHOLDS, ["lang"])
     return table.withColumn("f05", scoring.f_half(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 @query(f"""{_PLACES}, {_GRID}, rated AS (SELECT *, {_F05} AS f05 FROM grid WHERE fp <= 0.5 * (tp + fn))
 SELECT lang, threshold, tp, fp, fn, f05 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f05 DESC, threshold DESC) AS r FROM rated) WHERE r = 1""")
 def best_threshold(spark: SparkSession, d: str) -> DataFrame:
-    table = scoring.threshold_table(places(spark, d), THRESHOLDS, ["lang"])
+    table = scoring.threshold_table(scored_words(spark, d), THRESHOLDS, ["lang"])
     return scoring.best_threshold(table, ["lang"], 0.5 * (F.col("tp") + F.col("fn")))
 
 
 _MODELS = f"""WITH {SQL_WORDS}, preds AS (SELECT doc_id, word_no, m AS model, ((('0x' || left(md5(concat_ws('|', 'm' || m, doc_id, word_no)), 8))::BIGINT + 0.5) / 4294967296.0) AS p
- FROM words, (SELECT unnest([1, 2, 3]) AS m) WHERE word_no % 10 = 0 AND NOT (m = 3 AND word_no % 70 = 0))"""
+ FROM words, (SELECT unnest([1, 2, 3]) AS m) WHERE NOT (m = 3 AND word_no % 7 = 0))"""
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Scores of three models; the third one lacks some places."""
-    rows = words(spark, d).where("word_no % 10 = 0").select("doc_id", "word_no", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("model")).where("not (model = 3 and word_no % 70 = 0)")
+    rows = words(spark, d).select("doc_id", "word_no", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("model")).where("not (model = 3 and word_no % 7 = 0)")
     digest = F.md5(F.concat_ws("|", F.concat(F.lit("m"), F.col("model").cast("string")), F.col("doc_id").cast("string"), F.col("word_no").cast("string")))
     return rows.withColumn("p", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0)
 
@@ -90,7 +85,7 @@ def positional_model_join(spark: SparkSession, d: str) -> DataFrame:
 def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
     p, gold = F.col("p"), F.col("gold")
     verdict = F.when((p >= 0.8) & gold, "exact").when(p >= 0.8, "false").when(gold & (p >= 0.5), "flagged").when(gold, "missed").otherwise("quiet")
-    return places(spark, d).groupBy("lang", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    return scored_words(spark, d).groupBy("lang", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _W = "+".join(f"CAST(u > {s} AS INTEGER)" for s in (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015))
@@ -101,14 +96,14 @@ drawn AS (SELECT r, gain, {sql_uniform("'boot'", 'r', 'doc_id')} AS u FROM unit,
 SELECT quantile_cont(total, 0.025) AS low, quantile_cont(total, 0.975) AS high, avg(CAST(total > 0 AS INTEGER)) AS p_gain FROM sums""")
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     gain = F.when((F.col("p") >= 0.8) & F.col("gold"), 1).when(F.col("p") >= 0.8, -1).otherwise(0)
-    return scoring.bootstrap(places(spark, d), "doc_id", gain, 100, "boot")
+    return scoring.bootstrap(scored_words(spark, d), "doc_id", gain, 100, "boot")
 
 
 @query(f"""{_PLACES}, f AS (SELECT lang, CASE WHEN word_no < 50 THEN 'begin' WHEN word_no < 200 THEN 'middle' ELSE 'end' END AS place, CAST(gold AS INTEGER) AS e FROM places)
 SELECT 'lang' AS feature, lang AS value, CAST(sum(e) AS BIGINT) AS events, count(*) AS places FROM f GROUP BY lang UNION ALL SELECT 'place', place, CAST(sum(e) AS BIGINT), count(*) FROM f GROUP BY place""")
 def event_rate_tables(spark: SparkSession, d: str) -> DataFrame:
     place = F.when(F.col("word_no") < 50, "begin").when(F.col("word_no") < 200, "middle").otherwise("end")
-    rows = places(spark, d).select("lang", place.alias("place"), F.col("gold").cast("int").alias("e"))
+    rows = scored_words(spark, d).select("lang", place.alias("place"), F.col("gold").cast("int").alias("e"))
     return profile.event_tables(rows, ["lang", "place"], "e")
 
 
@@ -133,5 +128,6 @@ def label_precision_recall(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{_PLACES}, w AS (SELECT lang, word_no, p, 0.9 * p / avg(p) OVER (PARTITION BY lang) + 0.1 AS x FROM places) SELECT lang, round(avg(ln(x)), 6) AS mean_offset FROM w GROUP BY lang""")
 def heuristic_offsets(spark: SparkSession, d: str) -> DataFrame:
-    x = 0.9 * F.col("p") / F.avg("p").over(Window.partitionBy("lang")) + 0.1
-    return places(spark, d).select("lang", F.log(x).alias("x")).groupBy("lang").agg(F.round(F.avg("x"), 6).alias("mean_offset"))
+    rows = scored_words(spark, d).select("lang", "p")
+    x = 0.9 * F.col("p") / F.col("mean") + 0.1
+    return rows.join(rows.groupBy("lang").agg(F.avg("p").alias("mean")), "lang").select("lang", F.log(x).alias("x")).groupBy("lang").agg(F.round(F.avg("x"), 6).alias("mean_offset"))

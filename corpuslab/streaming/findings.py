@@ -7,6 +7,7 @@ older version of its document is late and dropped; a decided place is final.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,18 +28,24 @@ def step(state: tuple | None, row: tuple) -> tuple:
     return row if row[3] or (row[0], state[1]) > (state[0], row[1]) else state
 
 
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = 0) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:  # nothing came for a place: it is forgotten
+        state.remove()
+        return
     now = state.get if state.exists else None
     for frame in frames:
         for row in frame.sort_values(["version", "arrival"])[["rank", "rule", "fix", "decided", "version"]].itertuples(index=False):
             now = step(now, tuple(row))
     state.update(now)
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame([[*key, *now]], columns=[c.split()[0] for c in OUT.split(", ")])
 
 
-def upserted(stream: DataFrame) -> DataFrame:
-    """The stream of changed places."""
-    return stream.groupBy(*KEYS).applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def upserted(stream: DataFrame, idle_ms: int = 0) -> DataFrame:
+    """The stream of changed places. ``idle_ms``: the state of a place for which nothing came so long is dropped (0: never)."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy(*KEYS).applyInPandasWithState(partial(_update, idle_ms=idle_ms), OUT, STATE, "update", timeout)
 
 
 def upserted_batch(findings: DataFrame) -> DataFrame:
