@@ -41,6 +41,18 @@ def invalidate(marks: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return marks.join(paragraphs.select("doc_id", "paragraph").distinct(), ["doc_id", "paragraph"], "left_anti")
 
 
+def undone(log: DataFrame, keys: list[str], order: str, is_undo: Column) -> DataFrame:
+    """Entries of an undo log that stand: each undo takes back the newest entry not taken back yet, if there is one.
+
+    An entry stands unless the number of open entries falls below its own later on; all by running sums and minima."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    rows = log.withColumn("_u", is_undo).withColumn("_run", F.sum(F.when(F.col("_u"), -1).otherwise(1)).over(upto))
+    rows = rows.withColumn("_open", F.col("_run") - F.least(F.lit(0), F.min("_run").over(upto)))
+    rows = rows.withColumn("_low", F.min("_open").over(after))
+    return rows.where(~F.col("_u") & (F.coalesce("_low", "_open") >= F.col("_open"))).select(*log.columns)
+
+
 def merged_dictionary(mine: DataFrame, imported: DataFrame) -> DataFrame:
     """Words of both lists, one a word ignoring case; mine are spelt as I have them."""
     both = mine.select("word", F.lit(0).alias("_p")).union(imported.select("word", F.lit(1)))

@@ -13,9 +13,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions import cleaning as C
 from corpuslab.functions import text as T
 
 
@@ -27,6 +28,7 @@ class Rule:
     level: str
     pattern: str
     fix: str | None
+    outside_quotes: bool = False
 
 
 #: Runs of marks that no text needs.
@@ -41,13 +43,15 @@ NEUTRAL = [
 ]
 #: Spelling of Russian particles and prepositions that are written with a hyphen or as one word.
 RUSSIAN = [
-    Rule("DEFIS_PARTICLE", "error", r"(?iU)\b(кто|что|где|куда|когда|откуда|почему|чей|какой|какая|какое|какие) (то|либо|нибудь)\b", "$1-$2"),
+    Rule("DEFIS_PARTICLE", "error", r"(?iU)\b(кто|кого|кому|кем|ком|что|чего|чему|чем|где|куда|когда|откуда|почему|зачем|чей|чья|чье|чьи|какой|какая|какое|какие|какого|какому|каким|какую|каких|какими) (то|либо|нибудь)\b", "$1-$2"),
+    Rule("DEFIS_PARTICLE", "error", r"(?iU)\b(как) (либо|нибудь)\b", "$1-$2"),
     Rule("DEFIS_KOE", "error", r"(?iU)\b(кое|кой) (кто|что|где|куда|когда|какой|какие)\b", "$1-$2"),
     Rule("IZ_ZA", "error", r"(?iU)\b(из) (за|под)\b", "$1-$2"),
     Rule("IH_NIH", "error", r"(?iU)\bих них\b", "из них"),
-    Rule("TAKZHE", "check", r"(?iU)\b(так) (же)\b(?! как)", "$1$2"),
+    Rule("TAKZHE", "error", r"(?iU)(?<=^|[.!?]\s|[\s,]а\s)\b(так) (же)\b(?!\s*[,.;:)]|\s*$)(?![^.]{0,80}\bкак\b)", "$1$2"),
+    Rule("TAKZHE", "check", r"(?iU)(?<!^|[.!?]\s|[\s,]а\s)\b(так) (же)\b(?!\s*[,.;:)]|\s*$)(?![^.]{0,80}\bкак\b)", "$1$2"),
     Rule("LOCAL_NET", "error", r"(?iU)\b(локальн)о-(вычислительн)(ая|ой|ую|ою)\b", "$1$3 $2$3"),
-    Rule("NUM_ADJ", "error", r"(?iU)\b(\d+) (часовой|летний|дневный|кратный|этажный|процентный)\b", "$1-$2"),
+    Rule("NUM_ADJ", "error", r"(?iU)\b(\d+) ((?:часов|дневн|кратн|этажн|процентн|месячн|минутн|метров)(?:ый|ой|ая|ое|ые|ого|ому|ым|ом|ую|ых|ыми)|летн(?:ий|яя|ее|ие|его|ему|им|ем|юю|их|ими))\b", "$1-$2"),
     Rule("ABOVE_JOIN", "error", r"(?iU)\b(выше|ниже) (указанн\p{L}+|перечисленн\p{L}+|изложенн\p{L}+)", "$1$2"),
 ]
 LATIN_LIKE, CYRILLIC_LIKE = "aceopxyABCEHKMOPTX", "асеорхуАВСЕНКМОРТХ"
@@ -91,9 +95,20 @@ def pattern_findings(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
 
 def _bare(pattern: str) -> str:
     """The pattern without what looks at the text around the match."""
-    import re
-
-    return re.sub(r"\(\?<?[=!][^()]*(?:\[[^\]]*\][^()]*)*\)", "", pattern)
+    out, at, depth, inside = [], 0, 0, False
+    while at < len(pattern):
+        size = 2 if pattern[at] == "\\" else 1
+        piece = pattern[at : at + size]
+        if not depth and not inside and pattern.startswith(("(?=", "(?!", "(?<=", "(?<!"), at):
+            depth, at = 1, at + 1
+            continue
+        if depth:
+            inside = piece == "[" or (inside and piece != "]")
+            depth += 0 if inside else (piece == "(") - (piece == ")")
+        else:
+            out.append(piece)
+        at += size
+    return "".join(out)
 
 
 def double_words(words: Column) -> Column:
@@ -101,6 +116,40 @@ def double_words(words: Column) -> Column:
     return F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - 2)), lambda i: (F.lower(F.get(words, i)) == F.lower(F.get(words, i + 1))) & (F.length(F.get(words, i)) >= 2)))
 
 
+def guarded_findings(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
+    """Findings of a pack, without any in a bibliography entry, nor those in quotes of rules that look outside them only."""
+    quotes = pattern_spans(F.col(text), Rule("QUOTED", "check", C.QUOTED, None))
+    free = lambda f: ~F.exists("_quotes", lambda q: (q["start"] <= f["start"]) & (f["start"] < q["end"]))
+    found = [pattern_spans(F.col(text), rule) for rule in rules]
+    keep = [c for c in df.columns if c != text]
+    rows = df.where(~C.bibliography(F.col(text))).select(*keep, quotes.alias("_quotes"), *[x.alias(f"_{k}") for k, x in enumerate(found)])
+    parts = [F.filter(f"_{k}", free) if rule.outside_quotes else F.col(f"_{k}") for k, rule in enumerate(rules)]
+    return rows.select(*keep, F.explode(F.concat(*parts)).alias("_f")).select(*keep, "_f.*")
+
+
+def hard_sign(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Words that end in the hard sign where the lexicon has the soft one, with ``fix``."""
+    rows = words.where(F.col("word").rlike("(?iu)[а-яё]ъ$")).withColumn("fix", F.concat(F.expr("left(word, length(word) - 1)"), F.lit("ь")))
+    known = lexicon.select(F.col("form").alias("_f")).distinct()
+    return rows.join(known, F.lower("fix") == known["_f"], "left_semi")
+
+
+def double_n(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Short participles written with a double н, with ``fix``: the single form is one, the double form neither that nor an adverb."""
+    rows = words.where(F.col("word").rlike("(?iu)нн[аоы]$")).withColumn("fix", F.regexp_replace("word", "(?iu)(н)н([аоы])$", "$1$2"))
+    short = lexicon.where("pos = 'PRTS'").select(F.col("form").alias("_f")).distinct()
+    other = lexicon.where("pos in ('PRTS', 'ADVB')").select(F.col("form").alias("_g")).distinct()
+    return rows.join(short, F.lower("fix") == short["_f"], "left_semi").join(other, F.lower("word") == other["_g"], "left_anti")
+
+
+def latin_hyphen(words: DataFrame, lexicon: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+    """A Latin word (or веб, интернет) before a noun whose lemma is among ``heads`` (lemma): ``fix`` puts a hyphen between."""
+    following = F.lead("word").over(Window.partitionBy(*keys).orderBy("word_no"))
+    rows = words.withColumn("next", following).where(F.col("word").rlike("(?iu)^(?:[a-z]+|веб|интернет)$") & F.col("next").rlike("(?iu)^[а-яё]+$"))
+    nouns = lexicon.where("pos = 'NOUN'").join(heads.select("lemma").distinct(), "lemma", "left_semi").select(F.col("form").alias("_f")).distinct()
+    return rows.join(nouns, F.lower("next") == nouns["_f"], "left_semi").withColumn("fix", F.concat("word", F.lit("-"), "next"))
+
+
 def mixed_script(word: Column) -> Column:
     """A word with Latin and Cyrillic letters, made Cyrillic by look-alikes; null for any other."""
     mixed = word.rlike("[A-Za-z]") & word.rlike("[А-Яа-яЁё]")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions import cleaning
 from corpuslab.functions import text as T
-from corpuslab.operators import diff, rules, sampling, spans, synth
+from corpuslab.operators import diff, review, rules, sampling, spans, synth
 from corpuslab.plans.corpus import documents, sentences, words
 from corpuslab.plans.registry import SQL_SENTENCES, SQL_WORDS, query, sql_count, sql_key
 from corpuslab.sources import readers
@@ -167,6 +168,38 @@ def near_copy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("doc_id", F.col("f.doc_id").alias("first_id"), F.col("size").alias("n_src"), F.col("f.size").alias("n_gold"), (F.col("text_md5") == F.col("f.text_md5")).alias("clean"))
 
 
+@query()
+def rule_pack_findings(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pack of pattern rules over all sentences, with its guards."""
+    found = rules.guarded_findings(sentences(spark, d).select("doc_id", "lang", "sentence"), "sentence", rules.NEUTRAL + rules.RUSSIAN)
+    return found.groupBy("lang", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, event_type = 'error' AS u, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER w AS run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+o AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS depth FROM r),
+l AS (SELECT *, min(depth) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS low FROM o)
+SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_id FROM l WHERE NOT u AND coalesce(low, depth) >= depth GROUP BY ALL""")
+def undo_log(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions that stand after all undo steps."""
+    log = readers.table(spark, d, "events").select("user_id", "event_id", "event_type")
+    left = review.undone(log, ["user_id"], "event_id", F.col("event_type") == "error")
+    return left.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+
+
+@query(rf"""WITH g AS (SELECT lang, string_split_regex(text, '[\pL\pN]+(?:[-‑][\pL\pN]+)*') AS parts FROM documents) SELECT lang, CAST(sum(len(list_filter(parts[2:len(parts) - 1], lambda x: x = ' '))) AS BIGINT) AS n_places FROM g GROUP BY lang""")
+def comma_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places where the generator may put a comma."""
+    t = F.col("text")
+    return documents(spark, d, "lang", "text").groupBy("lang").agg(F.sum(F.size(synth.comma_places(cleaning.gaps(t)))).alias("n_places"))
+
+
+@query()
+def training_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Corrupted sentences that differ from their originals and that the labels restore."""
+    rows = sentences(spark, d).withColumn("key", F.concat_ws(":", "doc_id", "para_no", "sent_no"))
+    return synth.examples(rows, "sentence", "key", "seed-2").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {SQL_SENTENCES} SELECT lang, count(*) AS n, count(*) AS n_restored FROM sentences GROUP BY lang""")
 def corrupt_restore(spark: SparkSession, d: str) -> DataFrame:
     """Corrupt every sentence and undo it by the labels: all are restored."""

@@ -200,6 +200,23 @@ def open_any(spark: SparkSession, path: str) -> DataFrame:
     return READERS[ending[0].lower()](spark, path)
 
 
+def numbered(spark: SparkSession, folder: str, name: str, first: int = 1) -> DataFrame | None:
+    """JSON lines of numbered batch files (``name`` has the place of the number, as in ``batch{}.jsonl``) up to the first gap,
+    with ``batch``; None if there is no first one."""
+    paths, k = [], first
+    files = spark._jvm.org.apache.hadoop.fs
+    while True:
+        path = files.Path(f"{folder}/{name.format(k)}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            break
+        paths.append(str(path))
+        k += 1
+    if not paths:
+        return None
+    head, tail = (re.escape(x) for x in name.split("{}"))
+    return spark.read.json(paths).withColumn("batch", F.regexp_extract(F.input_file_name(), rf"{head}(\d+){tail}$", 1).cast("int"))
+
+
 def evaluation_keys(frames: list[DataFrame], columns: list[str]) -> DataFrame:
     """Distinct match keys of several columns of several tables, blank ones left out."""
     out = None

@@ -53,13 +53,20 @@ def test_log_linear_query_uses_all_words(spark, monkeypatch, tmp_path):
     assert counted == [{"begin": 50, "middle": 73}]
 
 
-def test_near_copies_that_differ_in_their_opening(spark, tmp_path):
-    body = " ".join(f"word{k}" for k in range(100))
-    texts = ["First " + body, "Second " + body, body + " third", "other text entirely " * 20]
-    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    rows = plan_findings.token_diff(spark, str(tmp_path)).collect()
-    assert sorted(map(tuple, rows)) == [(1, "word", 1), (2, "deletion", 1), (2, "insertion", 1)]
+def test_token_diff_finds_the_edits_that_corruption_left(spark, data):
+    rows = plan_findings.token_diff(spark, data).collect()
+    edits = {}
+    for r in rows:
+        edits.setdefault(r["lang"], [r["n_labels"], 0])[1] += r["n"]
+    assert edits and all(0.99 * labels <= n <= labels for labels, n in edits.values())  # neighbouring edits are one
+
+
+def test_many_matches_in_one_row(spark):
+    text = "ab && " * 50_000
+    row = spark.createDataFrame([(1, text), (2, "&&"), (3, ""), (4, None), (5, "x")], "id int, t string").withColumn("found", rules.pattern_spans(F.col("t"), rules.MARK_RUN))
+    out = {r["id"]: r for r in spans.apply_fixes(row, "t", "found", "fixed").collect()}
+    assert out[1]["fixed"] == "ab  " * 50_000 and [f["start"] for f in out[1]["found"]] == list(range(3, 300_000, 6))
+    assert [out[k]["fixed"] for k in (2, 3, 4, 5)] == ["", "", None, "x"]
 
 
 def test_apply_fixes(spark):
