@@ -52,10 +52,66 @@ def test_rows_law_query(spark, data):
     assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in rows}
 
 
-def test_allocation():
-    assert mixing.allocate([100, 100, 100], [3, 1, 2], 450, 2.0) == pytest.approx([200, 83.333333, 166.666667])
-    assert mixing.allocate([0, 10], [3, 1], 15, 2.0) == [0.0, 15.0]
-    assert mixing.allocate([], [], 0, 2.0) == []
+def allocate(sizes, weights, total, cap):
+    """Targets in proportion to the weights, none above its cap, source by source."""
+    targets, fixed = [0.0] * len(sizes), [False] * len(sizes)
+    while not all(fixed):
+        rest = [i for i, done in enumerate(fixed) if not done]
+        budget = total - sum(t for t, done in zip(targets, fixed, strict=True) if done)
+        for i in rest:
+            targets[i] = budget * weights[i] / sum(weights[k] for k in rest)
+        above = [i for i in rest if targets[i] > cap * sizes[i]]
+        if not above:
+            break
+        for i in above:
+            targets[i], fixed[i] = float(cap * sizes[i]), True
+    return targets
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [0, 10], [], [0, 0], [5, 1000, 1, 1, 400, 3, 80], [10, 1, 1, 1]])
+def test_allocation(spark, sizes):
+    names = [None if i == len(sizes) - 1 and i > 1 else f"s{i:03}" for i in range(len(sizes))]
+    df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, z bigint")
+    got = {r["source"]: r["t"] for r in mixing.allocated(df, (3, 1, 2), 1.5, 2.0).collect()}
+    expected = allocate(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes), 2.0)
+    assert [got[n] for n in names] == pytest.approx(expected)
+
+
+def test_many_sources_are_weighed_in_code_point_order(spark):
+    sources = [chr(97 + k % 26) * (1 + k // 26) for k in range(3000)]
+    df = spark.createDataFrame([(s, 1000) for s in sources], "source string, z bigint")
+    got = {r["source"]: r["t"] for r in mixing.allocated(df.repartition(7), (3, 1, 2), 1.5, 2.0).collect()}
+    expected = allocate([1000] * 3000, [(3, 1, 2)[i % 3] for i in range(3000)], 1.5 * 3_000_000, 2.0)
+    assert [got[s] for s in sorted(sources)] == pytest.approx(expected)
+
+
+def test_the_extra_copies_are_the_first_in_pareto_order(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(5, 60)), rng.choice("ab")) for i in range(400)]
+    df = mixing.sized(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    out = mixing.copies(df, df).collect()
+    for source in "ab":
+        own = [r for r in out if r["source"] == source]
+        words = {}
+        for r in own:
+            words[r["mix_class"]] = words.get(r["mix_class"], 0) + r["mix_size"]
+        expect = mixing.expected_copies(words, own[0]["mix_target"], 2.0)
+        whole = {k: int(e + 1e-9) for k, e in expect.items()}
+        left = own[0]["mix_target"] - sum(words[k] * whole[k] for k in words)
+
+        def odds(r):
+            u, p = (((r["mix_draw"] % 2**64) >> 12) + 0.5) / 2**52, expect[r["mix_class"]] - whole[r["mix_class"]]
+            return u * (1 - p) / (u * (1 - p) + (1 - u) * p)
+
+        took, got = set(), 0
+        for r in sorted((r for r in own if expect[r["mix_class"]] - whole[r["mix_class"]] > 1e-9), key=odds):
+            if got + r["mix_size"] > left and got + r["mix_size"] - left >= left - got:
+                break
+            took.add(r["doc_id"])
+            got += r["mix_size"]
+            if got > left:
+                break
+        assert {r["doc_id"] for r in own if r["mix_copies"] > whole[r["mix_class"]]} == took
 
 
 def docs(spark, odd_texts):
@@ -77,7 +133,7 @@ def test_mix_meets_targets(spark, odd_texts):
         assert 0 <= r["mix_copies"] <= 2 and (r["mix_size"] > 0 or r["mix_copies"] == 0)
     weights = dict(zip(sorted(by, key=lambda s: (s is None, (s or "").encode())), [3, 1, 2] * 3, strict=False))
     names = list(weights)
-    expected = mixing.allocate([sum(r["mix_size"] for r in by[s]) for s in names], [weights[s] for s in names], 1.5 * total, 2.0)
+    expected = allocate([sum(r["mix_size"] for r in by[s]) for s in names], [weights[s] for s in names], 1.5 * total, 2.0)
     for s, target in zip(names, expected, strict=True):
         assert by[s][0]["mix_target"] == pytest.approx(target)
         assert abs(sum(r["mix_size"] * r["mix_copies"] for r in by[s]) - target) <= max(0.02 * target, 0.5 * max(r["mix_size"] for r in by[s]))
