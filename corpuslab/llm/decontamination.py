@@ -2,8 +2,9 @@
 
 A benchmark item is cut into windows of ``window`` consecutive words (a shorter item is one window). The set of a window
 is its shingles, and a document contains the window only if it contains every shingle, so one token of the window is a
-necessary prefix: the rarest one. Rarity is counted over all documents in a first pass. The second pass joins the
-shingles of each document with the prefix tokens only; the place of the token within its window and the bounds of the
+necessary prefix: the rarest one. Rarity is counted over all documents in a first pass, which adds up hashed shingles in
+a table of fixed size, whatever the benchmark holds; shingles that share a counter only make the choice a little worse.
+The second pass joins the shingles of each document with the prefix tokens only; the place of the token within its window and the bounds of the
 document say where the window would have to lie (positional and length bounds), and there the words are compared one by
 one.
 
@@ -25,8 +26,9 @@ from corpuslab.llm import kernels as K
 from corpuslab.llm.staging import free_names, with_body
 
 SHINGLE = 3
-#: UTF-8 bytes of benchmark text in one block: what is sent to an executor at a time is some ten times that.
-BLOCK_BYTES = 8 << 20
+#: UTF-8 bytes of benchmark text in one block (what is sent to an executor at a time is some ten times that), counters of
+#: rarity, and slices of text that are compared with a block while it is open.
+BLOCK_BYTES, COUNTERS, SLICES = 8 << 20, 1 << 17, 8
 
 
 class Block:
@@ -66,19 +68,18 @@ class Block:
         empty = np.zeros(0, np.int64)
         self.shingle = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
         self.of, self.at = (np.concatenate(x) if x else empty for x in (of, at))
-        self.known, self.known_of = np.unique(self.shingle, return_inverse=True)
         self.widths = sorted({int(min(SHINGLE, n)) for n in set(lengths)})
 
     def order_by_rarity(self, counts: np.ndarray) -> None:
         """Keep the rarest shingle of each window (ties: the smaller hash, then the earlier place)."""
-        order = np.lexsort((self.at, self.shingle, counts[self.known_of], self.of))
+        order = np.lexsort((self.at, self.shingle, counts[(self.shingle % np.uint64(COUNTERS)).astype(np.int64)], self.of))
         first = order[np.unique(self.of[order], return_index=True)[1]]
         by_hash = first[np.argsort(self.shingle[first], kind="stable")]
         self.prefix = self.shingle[by_hash]
         self.prefix_window, self.prefix_at = self.of[by_hash], self.at[by_hash]
         self.known, self.known_begin = np.unique(self.prefix, return_index=True)
         self.known_end = np.append(self.known_begin[1:], len(self.prefix))
-        self.shingle = self.of = self.at = self.known_of = None
+        self.shingle = self.of = self.at = None
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``hashes`` whose value is known, and its number."""
@@ -115,74 +116,86 @@ def _open(shared: Broadcast, keep: bool) -> Block:
     return value
 
 
-def _count(shared: Broadcast, text: str):
+def _count(widths: list[int]):
+    """Hashed shingles of all documents, as (number of a counter, n)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        counts = np.zeros(len(block.known), np.int64)
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            data, offsets = K.column_bytes(batch.column(batch.schema.get_field_index(text)))
+            data, offsets = K.column_bytes(batch.column(0))
             for first, last in K.slices(offsets):
                 own = offsets[first : last + 1]
                 words = K.Words(data[own[0] : own[-1]], own - own[0], K.ALNUM_WORDS)
-                row_of = np.repeat(np.arange(words.rows), words.count)
-                for width in block.widths:
-                    places, numbers = block.find(K.sequence_hash(words.hash, width))
-                    same = row_of[places] == row_of[places + width - 1]
-                    counts += np.bincount(numbers[same], minlength=len(counts))
+                for width in widths:
+                    hashes = K.sequence_hash(words.hash, width)
+                    counts += np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["number", "n"])
 
     return run
 
 
+def rarity(docs: DataFrame, text: str, widths: list[int]) -> np.ndarray:
+    """How often the shingles of each counter occur in the documents."""
+    counts = np.zeros(COUNTERS, np.int64)
+    counted = docs.select(text).mapInArrow(_count(widths), "number bigint, n bigint").groupBy("number").agg(F.sum("n").alias("n"))
+    for row in counted.collect():  # COUNTERS rows at most
+        counts[row["number"]] = row["n"]
+    return counts
+
+
+def _match(block: Block, words: K.Words, row_of: np.ndarray, found: list[set], cover: np.ndarray, window: int) -> None:
+    """Add the items of a block that occur in each row to ``found``, and their words to ``cover`` (as differences)."""
+    for width in block.widths:
+        places, numbers = block.find(K.sequence_hash(words.hash, width))
+        if not len(places):
+            continue
+        many = block.known_end[numbers] - block.known_begin[numbers]
+        places = np.repeat(places, many)
+        which = np.arange(len(places)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(block.known_begin[numbers], many)
+        at, wins = block.prefix_at[which], block.prefix_window[which]
+        size, row, start = block.length[wins], row_of[places], places - at
+        fits = (start >= words.bounds[row]) & (start + size <= words.bounds[row + 1]) & (np.minimum(size, SHINGLE) == width)
+        start, wins, size, row = start[fits], wins[fits], size[fits], row[fits]
+        for k in range(window):
+            there = np.minimum(start + k, len(words.hash) - 1)
+            same = (k >= size) | (words.hash[there] == block.words[wins, k])
+            if not same.all():
+                start, wins, size, row = start[same], wins[same], size[same], row[same]
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + size, -1)
+        for r, o in set(zip(row.tolist(), block.owner[wins].tolist(), strict=True)):
+            found[r].add(block.item_ids[o])
+
+
 def _hits(shared: list[Broadcast], n_carry: int, window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.column_bytes(batch.column(n_carry))
             n_words, n_hit, spans, items = [], [], [], []
-            for first, last in K.slices(offsets):
-                own = offsets[first : last + 1]
-                words = K.Words(data[own[0] : own[-1]], own - own[0], K.ALNUM_WORDS)
-                row_of = np.repeat(np.arange(words.rows), words.count)
-                found: list[set] = [set() for _ in range(words.rows)]
-                cover = np.zeros(len(words.hash) + 1, np.int64)
+            parts = list(K.slices(offsets))
+            for at in range(0, len(parts), SLICES):
+                group = []
+                for first, last in parts[at : at + SLICES]:
+                    own = offsets[first : last + 1]
+                    words = K.Words(data[own[0] : own[-1]], own - own[0], K.ALNUM_WORDS)
+                    group.append((words, np.repeat(np.arange(words.rows), words.count), [set() for _ in range(words.rows)], np.zeros(len(words.hash) + 1, np.int64)))
                 for block in (_open(b, len(shared) == 1) for b in shared):
-                    for width in block.widths:
-                        places, numbers = block.find(K.sequence_hash(words.hash, width))
-                        if not len(places):
+                    for words, row_of, found, cover in group:
+                        _match(block, words, row_of, found, cover, window)
+                for words, _, found, cover in group:
+                    hit = np.cumsum(cover[:-1]) > 0
+                    for i in range(words.rows):
+                        a, b = words.bounds[i], words.bounds[i + 1]
+                        n_words.append(int(b - a))
+                        items.append(sorted(found[i]))
+                        if not found[i]:
+                            n_hit.append(0)
+                            spans.append([])
                             continue
-                        many = block.known_end[numbers] - block.known_begin[numbers]
-                        places = np.repeat(places, many)
-                        which = np.arange(len(places)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(block.known_begin[numbers], many)
-                        at, wins = block.prefix_at[which], block.prefix_window[which]
-                        size = block.length[wins]
-                        row = row_of[places]
-                        start = places - at
-                        fits = (start >= words.bounds[row]) & (start + size <= words.bounds[row + 1]) & (np.minimum(size, SHINGLE) == width)
-                        start, wins, size, row = start[fits], wins[fits], size[fits], row[fits]
-                        for k in range(window):
-                            there = np.minimum(start + k, len(words.hash) - 1)
-                            same = (k >= size) | (words.hash[there] == block.words[wins, k])
-                            if not same.all():
-                                start, wins, size, row = start[same], wins[same], size[same], row[same]
-                        np.add.at(cover, start, 1)
-                        np.add.at(cover, start + size, -1)
-                        for r, o in set(zip(row.tolist(), block.owner[wins].tolist(), strict=True)):
-                            found[r].add(block.item_ids[o])
-                hit = np.cumsum(cover[:-1]) > 0
-                edges = np.zeros(len(hit) + 1, np.int8)
-                edges[:-1] = hit
-                for i in range(words.rows):
-                    a, b = words.bounds[i], words.bounds[i + 1]
-                    n_words.append(int(b - a))
-                    items.append(sorted(found[i]))
-                    if not found[i]:
-                        n_hit.append(0)
-                        spans.append([])
-                        continue
-                    inside = np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))
-                    n_hit.append(int(hit[a:b].sum()))
-                    spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(inside == 1), np.flatnonzero(inside == -1), strict=True)])
+                        inside = np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))
+                        n_hit.append(int(hit[a:b].sum()))
+                        spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(inside == 1), np.flatnonzero(inside == -1), strict=True)])
             extra = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_carry)] + extra, names)
 
@@ -198,18 +211,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """
     spark = docs.sparkSession
     carry = [c for c in docs.columns if c != text] if carry is None else carry
-    shared = []
+    lowered = F.translate(F.col(item_text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    size = F.least(F.regexp_count(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(SHINGLE))
+    widths = sorted(r[0] for r in benchmark.select(size.alias("width")).where("width > 0").distinct().collect())
+    counts, shared = rarity(docs, text, widths), []
     for block in _blocks(benchmark, item_id, item_text, window, block_bytes):
-        if not len(block.length):
-            continue
-        first = spark.sparkContext.broadcast(block)
-        counted = docs.select(text).mapInArrow(_count(first, text), "number bigint, n bigint").groupBy("number").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros(len(block.known), np.int64)
-        for row in counted:  # one row a shingle of this block at most
-            counts[row["number"]] = row["n"]
-        first.destroy()
-        block.order_by_rarity(counts)
-        shared.append(spark.sparkContext.broadcast(block))
+        if len(block.length):
+            block.order_by_rarity(counts)
+            shared.append(spark.sparkContext.broadcast(block))
     names = free_names(docs.select(*carry), "n_words", "n_hit", "items", "hit_spans")
     kinds = ("bigint", "bigint", "array<bigint>", "array<struct<start:bigint,end:bigint>>")
     schema = docs.select(*carry, *[F.lit(None).cast(kind).alias(name) for name, kind in zip(names, kinds, strict=True)]).schema

@@ -61,3 +61,12 @@ def test_empty_tables_and_clashing_names(spark, make_docs):
 def test_sql_twin(spark, data, duck):
     name = "op6_prefix_filter_decontamination"
     assert_same(QUERIES[name](spark, data).toPandas(), duck.execute(ORACLE_SQL[name]).df())
+
+
+def test_many_blocks_give_the_same_as_one(spark, make_docs):
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.randint(1, 30))) for i in range(60)]
+    texts = [prose(rng, 20) + " " + rng.choice(items)[1] + " " + prose(rng, 5) for _ in range(50)] + [None, ""]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    one, many = (find_contamination(make_docs(texts), bench, carry=["doc_id"], block_bytes=size).orderBy("doc_id").collect() for size in (1 << 20, 300))
+    assert one == many and sum(len(t) for _, t in items) > 12 * 300
