@@ -4,11 +4,12 @@ Unit vectors with cosine c are at squared distance 2 - 2c. After a random rotati
 eight dimensions; if two vectors are within the squared distance D, at least one of the m blocks is within D / m. So the
 candidates of the m range joins, one a block, contain every link, and the union is verified exactly in double precision.
 
-Distribution: equal vectors of a label are one node. A label with no more nodes than ``CELL`` is one cell, whose blocks
-are joined in the same task. A larger label is cut by block and by a grid over the block's first dimensions, as many as
-its population asks for; each vector is at home in one cell and probes the cells that its range reaches. A pair met in
-several blocks counts in the first block that joins it. Cells are compared chunk by chunk, and a task returns only the
-number of links and one edge a vector, never pairs, so a dense group costs no more output than its members.
+Distribution: equal vectors of a label are one node. Each label is cut by block and by a grid over the block's first
+dimensions, as many as its population asks for; each vector is at home in one cell and probes the cells that its range
+reaches. In a cell both sides are sorted by the block's first coordinate, and a tile is compared with what lies in its
+range only. A pair met in several blocks counts in the first block that joins it. Cells are compared chunk by chunk, and
+a task returns only the number of links and one edge a vector, never pairs, so a dense group costs no more output than
+its members.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from corpuslab.llm.components import connected_components
 from corpuslab.llm.staging import staged
 
 BLOCK = 8
-#: Nodes of a label that stay one cell, nodes of a chunk, and rows of a tile of the comparison.
-CELL, CHUNK, TILE = 8192, 4096, 512
+#: Nodes that a cell should hold, nodes of a chunk, and rows of a tile of the comparison.
+CELL, CHUNK, TILE = 4096, 4096, 256
 _rotations: dict[int, np.ndarray] = {}
 
 
@@ -43,11 +44,16 @@ def grid_dims(population: int, cell: int, dims: int = BLOCK) -> int:
     return 0 if population <= cell else min(dims, int(np.ceil(np.log(population / cell) / np.log(1.5))))
 
 
-def _units(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _units(column: pa.Array, dim: int) -> np.ndarray:
+    return units(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim))
+
+
 def _deal(least: float, cell: int):
     """(dim, population, node, weight, vec, label) -> (cell, block, role, node, weight, vec); role 0 home, 1 probe, 2 both."""
 
@@ -58,27 +64,28 @@ def _deal(least: float, cell: int):
             label = batch.column(5).to_numpy().astype(np.int64)
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
-                whole = rows[population[rows] <= cell]
-                out = [(whole, label[whole] * 1_000_003 + dim, np.full(len(whole), -1), np.full(len(whole), 2))]
-                large = rows[population[rows] > cell]
-                if len(large):
-                    turned = _units(batch.column(4).take(pa.array(large)), int(dim)) @ rotation(int(dim))
-                    blocks = turned.shape[1] // BLOCK
-                    reach = np.sqrt(max(0.0, 2 - 2 * least) / blocks) * 1.001 + 1e-9
-                    for g in np.unique([grid_dims(n, cell) for n in population[large]]):
-                        own = np.flatnonzero([grid_dims(n, cell) == g for n in population[large]])
-                        for j in range(blocks):
-                            at = turned[own, j * BLOCK : j * BLOCK + g] / (2 * reach)
-                            home = np.floor(at).astype(np.int64)
-                            side = np.where(at - home < 0.5, -1, 1)  # a range of half a cell reaches one neighbour a dimension
-                            near = np.where(side < 0, at - home, 1 - (at - home)) * 2 * reach
-                            key = lambda c, j=j, own=own: _mixed(np.column_stack([label[large[own]], np.full(len(own), dim * 4096 + j), c]))
-                            out.append((large[own], key(home), np.full(len(own), j), np.zeros(len(own), np.int64)))
-                            for step in itertools.product((0, 1), repeat=int(g)):
-                                step = np.array(step)
-                                inside = ((near * step) ** 2).sum(1) <= reach**2
-                                probe = key(home + side * step)[inside]
-                                out.append((large[own][inside], probe, np.full(len(probe), j), np.ones(len(probe), np.int64)))
+                out = []
+                turned = _units(batch.column(4).take(pa.array(rows)), int(dim)) @ rotation(int(dim))
+                blocks = turned.shape[1] // BLOCK
+                reach = np.sqrt(max(0.0, 2 - 2 * least) / blocks) * 1.001 + 1e-9
+                grid = np.array([grid_dims(n, cell) for n in population[rows]])
+                for g in np.unique(grid):
+                    own = np.flatnonzero(grid == g)
+                    for j in range(blocks):
+                        at = turned[own, j * BLOCK : j * BLOCK + g] / (2 * reach)
+                        home = np.floor(at).astype(np.int64)
+                        side = np.where(at - home < 0.5, -1, 1)  # a range of half a cell reaches one neighbour a dimension
+                        near = np.where(side < 0, at - home, 1 - (at - home)) * 2 * reach
+                        key = lambda c, j=j, own=own: _mixed(np.column_stack([label[rows[own]], np.full(len(own), dim * 4096 + j), c]))  # noqa: E731, B023
+                        if g == 0:
+                            out.append((rows[own], key(home), np.full(len(own), j), np.full(len(own), 2)))
+                            continue
+                        out.append((rows[own], key(home), np.full(len(own), j), np.zeros(len(own), np.int64)))
+                        for step in itertools.product((0, 1), repeat=int(g)):
+                            step = np.array(step)
+                            inside = ((near * step) ** 2).sum(1) <= reach**2
+                            probe = key(home + side * step)[inside]
+                            out.append((rows[own][inside], probe, np.full(len(probe), j), np.ones(len(probe), np.int64)))
                 index = np.concatenate([x[0] for x in out])
                 cells, block, role = (np.concatenate([x[k] for x in out]) for k in (1, 2, 3))
                 for a in range(0, len(index), 20_000):
@@ -113,37 +120,42 @@ class _Task:
         if not sides[0] or not sides[1]:
             return (np.zeros(0, np.int64),) * 3
         node, weight = ([np.array([r[k] for r in s], np.int64) for s in sides] for k in (1, 2))
-        unit = []
-        for s in sides:
-            x = np.array([r[3] for r in s], np.float64)
-            unit.append(x / np.sqrt((x * x).sum(1, keepdims=True)))
+        unit = [units(np.array([r[3] for r in s], np.float64)) for s in sides]
         turned = [x @ rotation(x.shape[1]) for x in unit]
+        order = [np.argsort(x[:, self.block * BLOCK], kind="stable") for x in turned]
+        node, weight, unit, turned = ([x[k] for x, k in zip(both, order, strict=True)] for both in (node, weight, unit, turned))
         blocks = turned[0].shape[1] // BLOCK
         budget = max(0.0, 2 - 2 * self.least) / blocks + 1e-6
-        flat = [x.astype(np.float32) for x in turned]
-        norm = [(x.reshape(len(x), blocks, BLOCK) ** 2).sum(2) for x in flat]
+        part = slice(self.block * BLOCK, self.block * BLOCK + BLOCK)
+        flat = [x[:, part].astype(np.float32) for x in turned]
+        norm = [(x**2).sum(1) for x in flat]
+        first = [x[:, part.start] for x in turned]
+        reach = np.sqrt(budget) + 1e-6
         links = np.zeros(len(node[0]), np.int64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
+        everyone = [node, weight, unit, turned]
         for a in range(0, len(node[0]), TILE):
             tile = slice(a, a + TILE)
-            near = np.zeros((len(node[0][tile]), len(node[1])), bool)
-            for j in range(blocks) if self.block < 0 else [self.block]:
-                part = slice(j * BLOCK, j * BLOCK + BLOCK)
-                product = flat[0][tile, part] @ flat[1][:, part].T
-                product *= -2
-                product += norm[1][:, j]
-                near |= product <= np.float32(budget + 1e-5) - norm[0][tile, j][:, None]
+            low, high = np.searchsorted(first[1], first[0][a] - reach, "left"), np.searchsorted(first[1], first[0][tile][-1] + reach, "right")
+            if low == high:
+                continue
+            node, weight, unit, turned = ([x[0], x[1][low:high]] for x in everyone)
+            product = flat[0][tile] @ flat[1][low:high].T
+            product *= -2
+            product += norm[1][low:high]
+            near = product <= np.float32(budget + 1e-5) - norm[0][tile][:, None]
             near &= node[0][tile][:, None] != node[1]
             left, right = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
             if not len(left):
                 continue
             near = near[np.ix_(left, right)]
             linked = near & (unit[0][a + left] @ unit[1][right].T >= self.least)
-            if self.block >= 0:  # counted in the first block that joins the pair
-                i, k = np.nonzero(linked)
-                apart = ((turned[0][a + left[i]] - turned[1][right[k]]).reshape(len(i), blocks, BLOCK)[:, : self.block + 1] ** 2).sum(2)
+            i, k = np.nonzero(linked)  # counted in the first block that joins the pair
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], k[at : at + (1 << 16)]
+                apart = ((turned[0][a + left[p]] - turned[1][right[q]]).reshape(len(p), blocks, BLOCK)[:, : self.block + 1] ** 2).sum(2)
                 other = (apart[:, :-1] <= budget).any(1) | (apart[:, -1] > budget)
-                linked[i[other], k[other]] = False
+                linked[p[other], q[other]] = False
             links[a + left] += linked @ weight[1][right]
             # One edge a node: the lowest label that reaches it, repeated until nothing changes.
             low_left, low_right = node[0][a + left].copy(), node[1][right].copy()

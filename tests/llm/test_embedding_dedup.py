@@ -56,3 +56,9 @@ def test_empty_table(spark):
 def test_query_keeps_the_smallest(spark, data):
     rows = E.query_near_vectors(spark, data).collect()
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows) and len(rows) == 500
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1.01e200], 0), (3, [1e-200, 1e-200], 0), (4, [-1e200, 1e200], 0)]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
