@@ -22,6 +22,8 @@ from corpuslab.llm.staging import free_names, parallelism
 
 #: Rows that a block should hold, and cells that the matrix, which the driver draws, has at most.
 BLOCK_ROWS, MATRIX_CELLS = 50_000, 1 << 20
+#: Rows by which a block may exceed four times the mean before repeated rows are looked for.
+CROWD = 10_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -69,11 +71,13 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, blo
     """Add ``shard`` (int, from 0) and ``slot`` (bigint, gapless from 0 within the shard) to every row.
 
     Shard sizes differ by one at most. ``keys`` (default: every column that can be hashed) identify a row; rows equal
-    in all keys are numbered and placed independently. Nulls, empty and very long texts are hashed as they are; an empty table gives an
+    in all keys are numbered and placed independently; without ``keys``, a row that is repeated so often that its block
+    stands out is counted and dealt copy by copy over all blocks. Nulls, empty and very long texts are hashed as they are; an empty table gives an
     empty result; existing columns named ``shard`` or ``slot`` are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
+    whole_rows = keys is None and not any("map<" in kind or kind in ("variant", "void") for _, kind in docs.dtypes)
     keys = keys or [c for c, kind in docs.dtypes if "map<" not in kind and kind not in ("variant", "void")]
     blocks = max(1, min(blocks or max(64, parallelism(spark), docs.count() // BLOCK_ROWS), MATRIX_CELLS // n_shards))
     block, row, copy, rank, cuts, group, within, base = free_names(docs, "block", "row", "copy", "rank", "cuts", "group", "within", "base")
@@ -84,13 +88,23 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, blo
     # How rows come into blocks does not matter for a uniform shuffle; a hash of the row deals them evenly, and again alike.
     dealt = docs.withColumn(row, F.xxhash64(F.lit(seed), *[f"`{c}`" for c in keys])).withColumn(block, F.pmod(row, F.lit(blocks)).cast("int"))
     counted = {r[0]: r[1] for r in dealt.groupBy(block).count().collect()}
+    # Equal rows are numbered within their block, so that each gets a place of its own.
+    number = lambda df: df.repartition(block).withColumn(copy, F.row_number().over(Window.partitionBy(block, row).orderBy(row)))
+    numbered, mean = number(dealt), sum(counted.values()) / blocks
+    large = [b for b, n in counted.items() if n > 4 * mean + CROWD]
+    if large and whole_rows:
+        often = dealt.where(F.col(block).isin(large)).groupBy(row).count().where(F.col("count") > mean + CROWD / 2)
+        hot = [r[0] for r in often.collect()]  # fewer than there are blocks
+        if hot:
+            many = dealt.where(F.col(row).isin(hot)).groupBy(*[f"`{c}`" for c in docs.columns], row).agg(F.count(F.lit(1)).cast("int").alias(rank))
+            many = many.withColumn(copy, F.explode(F.sequence(F.lit(1), rank))).drop(rank).withColumn(block, F.pmod(F.xxhash64(row, copy), F.lit(blocks)).cast("int"))
+            numbered = number(dealt.where(~F.col(row).isin(hot))).unionByName(many)
+            counted = {r[0]: r[1] for r in numbered.groupBy(block).count().collect()}
     sizes = [counted.get(b, 0) for b in range(blocks)]
     matrix = communication_matrix(sizes, n_shards, seed)
     edges = small_table(spark, [{"b": b, "c": np.cumsum(line).tolist()} for b, line in enumerate(matrix)], "b int, c array<bigint>")
     edges = edges.select(F.col("b").alias(block), F.col("c").alias(cuts))
 
-    # Equal rows are numbered within their block, so that each gets a place of its own.
-    numbered = dealt.repartition(block).withColumn(copy, F.row_number().over(Window.partitionBy(block, row).orderBy(row)))
     local = Window.partitionBy(block).orderBy(draw(2), draw(3))
     placed = numbered.withColumn(rank, F.row_number().over(local) - 1).join(F.broadcast(edges), block)
     placed = placed.withColumn("shard", F.expr(f"size(filter({cuts}, c -> c <= {rank}))").cast("int")).drop(rank, cuts, block)

@@ -36,6 +36,15 @@ def test_shards_are_exact_and_slots_gapless(spark, n):
     assert n == 0 or rows[0]["block"] == 2
 
 
+def test_a_row_repeated_very_often_fills_no_block_alone(spark):
+    df = spark.range(41_000).select(F.when(F.col("id") < 40_000, F.lit(-1)).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("rank"))
+    out = sharding.shard(df, 4, blocks=16)
+    rows = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("k"), F.max("slot").alias("m"), F.count_if(F.col("doc_id") == -1).alias("hot")).collect()
+    assert all(r["n"] == r["k"] == 10_250 and r["m"] == 10_249 and abs(r["hot"] - 10_000) < 150 for r in rows) and len(rows) == 4
+    again = sharding.shard(df.repartition(5), 4, blocks=16)
+    assert out.exceptAll(again).isEmpty() and again.exceptAll(out).isEmpty()
+
+
 def test_shuffle_is_uniform(spark):
     rows = spark.range(8000).select(F.col("id").alias("doc_id"))
     out = sharding.shard(rows, 4).withColumn("part", F.floor(F.col("doc_id") / 1000)).withColumn("where", F.floor(F.col("slot") / 500))
