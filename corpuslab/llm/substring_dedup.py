@@ -10,6 +10,10 @@ strings meet in one shard, whatever their documents:
    external induced sorting with common-prefix values (see :mod:`corpuslab.llm.suffix_sort`); windows whose common
    prefix with a neighbour reaches ``length`` are repeats. Pieces and all that sorts them go to disk when they are large,
    so the memory of a task does not grow with its shard.
+   An anchor with more bytes than a shard holds is cut first: its windows are classed by how far the anchor lies in them
+   (equal windows agree in that), and each class by the bytes that all its windows must contain. So the contexts of a hot
+   anchor fall apart by their surroundings, equal parts are counted, and what is still too much for a shard is cut again,
+   by narrower classes down to single windows, which counting alone decides.
 4. The repeats return to their documents, where covered bytes are cut out.
 
 The text of a document moves only if it holds a repeated anchor; the others are told apart by a Bloom filter of bounded
@@ -34,6 +38,8 @@ from corpuslab.llm.suffix_sort import repeated_runs
 
 #: Bytes of context that a shard should have on average, and scale of the memory that sorting one takes (some four times that at most).
 SHARD_BYTES, SORT_BYTES = 3 << 19, 64 << 20
+#: Distances of the anchor that a class of windows of a hot anchor spans, from cut to cut.
+CLASSES = (32, 4, 1)
 #: Words of 64 bits of the Bloom filter: 16 bits a document, within these bounds.
 FILTER_WORDS = (1 << 12, 1 << 20)
 
@@ -75,6 +81,41 @@ def _cut(length: int):
     return run
 
 
+def _refine(length: int, step: int):
+    """(text, wanted: array of (anchor, context, key, first, reach, ahead)) -> parts of each context by class, with the anchor and
+    context that they stand for in the next round, and where they begin in theirs (base)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "context", "base", "sub_anchor", "sub_context", "key", "first", "reach", "ahead"]
+        for batch in batches:
+            data, offsets = K.column_bytes(batch.column(0))
+            wanted = batch.column(1)
+            starts = wanted.offsets.to_numpy()
+            fields = [wanted.values.field(i).to_numpy() for i in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for i in range(batch.num_rows):
+                for k in range(starts[i], starts[i + 1]):
+                    anchor, context, key, first, reach, ahead = (int(f[k]) for f in fields)
+                    own = data[offsets[i] + first : offsets[i] + first + reach + length]
+                    up, down = K.powers(len(own) + 1)
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K._BYTE_CODE[own] * up[: len(own)], dtype=np.uint64)])
+                    part = np.arange((ahead - reach) // step, ahead // step + 1)
+                    low, high = np.maximum(0, ahead - (part * step + step - 1)), np.minimum(reach, ahead - part * step)
+                    hashed = lambda a, b, sums=sums, down=down: K.mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+                    shared = hashed(ahead - part * step, ahead - (part * step + step - 1) + length)  # what all windows of the class contain
+                    whole = hashed(low, high + length)
+                    base = np.array([anchor], np.int64).view(np.uint64)
+                    sub = K.mix(K.mix(base + part.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(step)) ^ shared)
+                    inner = K.mix(whole + (ahead - low).astype(np.uint64) * np.uint64(1_000_003))
+                    n = len(part)
+                    columns = (np.full(n, anchor), np.full(n, context), low, sub.view(np.int64), inner.view(np.int64), np.full(n, key), first + low, high - low, ahead - low)
+                    for column, values in zip(out, columns, strict=True):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names)
+
+    return run
+
+
 def _sort(length: int, memory: int):
     """One shard a partition, in the order of anchor and context: (anchor, context, piece) -> (anchor, context, runs of repeated window starts)."""
 
@@ -149,6 +190,48 @@ def _remove(length: int, n_carry: int, names: list[str], with_text: bool):
     return run
 
 
+def _mixed(contexts: DataFrame, name: str) -> DataFrame:
+    """(anchor, context, key, first, reach, ahead): one copy of each context of the anchors that have several."""
+    mixed = contexts.groupBy("anchor").agg(F.min("context").alias("x"), F.max("context").alias("y")).where("x < y").select("anchor")
+    mixed = staged(mixed, f"{name}-anchors")  # a written side lets AQE split the other
+    return staged(contexts.join(mixed, "anchor").select("anchor", "context", "copy.*"), name)
+
+
+def _copied(contexts: DataFrame) -> DataFrame:
+    """(anchor, context, low, high): contexts that occur twice or more, all of whose windows are repeats."""
+    return contexts.where("n > 1").select("anchor", "context", F.lit(0).cast("bigint").alias("low"), F.col("copy.reach").alias("high"))
+
+
+def _with_text(wanted: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    by_key = wanted.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    return texts.join(by_key, "key").select("text", "wanted")
+
+
+def _repeats(wanted: DataFrame, texts: DataFrame, length: int, shard_bytes: int, memory: int, classes: tuple[int, ...]) -> DataFrame:
+    """(anchor, context, low, high): runs of windows of the ``wanted`` contexts that occur in another context of their anchor too."""
+    sizes = wanted.groupBy("anchor").agg(F.sum(F.col("reach") + length).alias("bytes"))
+    hot = staged(sizes.where(F.col("bytes") > shard_bytes).select("anchor"), "sub-hot")
+    split = bool(classes) and not hot.isEmpty()
+    cold = wanted.join(hot, "anchor", "left_anti") if split else wanted
+    pieces = _with_text(cold, texts, "anchor", "context", "first", "reach").mapInArrow(_cut(length), "anchor bigint, context bigint, piece binary")
+    total = cold.agg(F.sum(F.col("reach") + length)).first()[0] or 0
+    shards = max(parallelism(wanted.sparkSession), int(total // shard_bytes) + 1)
+    runs = pieces.repartition(shards, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(_sort(length, memory), "anchor bigint, context bigint, low bigint, high bigint")
+    runs = staged(runs, "sub-sorted")
+    if not split:
+        return runs
+    rows = _with_text(wanted.join(hot, "anchor"), texts, "anchor", "context", "key", "first", "reach", "ahead")
+    names = ("anchor", "context", "base", "sub_anchor", "sub_context", "key", "first", "reach", "ahead")
+    parts = staged(rows.mapInArrow(_refine(length, classes[0]), ", ".join(f"{n} bigint" for n in names)), "sub-parts")
+    own = parts.select("anchor", "context", "base", "sub_anchor", "sub_context", "key", "first", "reach", "ahead").distinct()  # repeated rows give the same part twice
+    inner = own.groupBy(F.col("sub_anchor").alias("anchor"), F.col("sub_context").alias("context")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "reach", "ahead")).alias("copy"))
+    inner = staged(inner, "sub-inner")
+    deeper = _copied(inner).union(_repeats(_mixed(inner, "sub-again"), texts, length, shard_bytes, memory, classes[1:]))
+    deeper = deeper.select(F.col("anchor").alias("sub_anchor"), F.col("context").alias("sub_context"), "low", "high")
+    back = parts.join(deeper, ["sub_anchor", "sub_context"]).select("anchor", "context", (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
+    return runs.union(back)
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None = None, length: int = 400, gram: int | None = None, shard_bytes: int = SHARD_BYTES, memory: int = SORT_BYTES, with_text: bool = False) -> DataFrame:
     """The ``carry`` columns (default: all but the text), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, ``kept``.
 
@@ -168,11 +251,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     found = staged(found, "sub-anchors")
     twice = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "sub-twice")  # a written side lets AQE split the other
     found = staged(found.join(twice, "anchor"), "sub-repeated")
-    contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "reach")).alias("copy"))
+    contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", F.col("reach").cast("bigint").alias("reach"), F.col("ahead").cast("bigint").alias("ahead"))).alias("copy"))
     contexts = staged(contexts, "sub-contexts")
-    mixed = contexts.groupBy("anchor").agg(F.min("context").alias("x"), F.max("context").alias("y")).where("x < y").select("anchor")
-    mixed = staged(mixed, "sub-mixed")
-    wanted = staged(contexts.join(mixed, "anchor").select("anchor", "context", F.col("copy.key").alias("key"), F.col("copy.first").alias("first"), F.col("copy.reach").cast("bigint").alias("reach")), "sub-wanted")
+    wanted = _mixed(contexts, "sub-wanted")
 
     # A Bloom filter of the documents with a repeated anchor, of bounded size: one word a key, two bits in it.
     n_keys = found.select(F.approx_count_distinct("key")).first()[0]
@@ -184,15 +265,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     inside = F.col(mask).bitwiseAND(bits(key)) == bits(key)
     maybe = sifted.join(sieve, word).where(inside).drop(word, mask)
 
-    by_key = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "context", "first", "reach")).alias("wanted"))
-    pieces = maybe.select(F.col(key).alias("key"), F.col(text).alias("text")).join(by_key, "key").select("text", "wanted").mapInArrow(_cut(length), "anchor bigint, context bigint, piece binary")
-    total = wanted.agg(F.sum(F.col("reach") + length)).first()[0] or 0
-    shards = max(parallelism(spark), int(total // shard_bytes) + 1)
-    sorted_ = pieces.repartition(shards, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(_sort(length, memory), "anchor bigint, context bigint, low bigint, high bigint")
-    sorted_ = staged(sorted_, "sub-sorted")
-
-    copied = contexts.where("n > 1").select("anchor", "context", F.col("copy.reach").cast("bigint").alias("high"))
-    repeats = copied.select("anchor", "context", F.lit(0).cast("bigint").alias("low"), "high").union(sorted_)
+    texts = maybe.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    repeats = _copied(contexts).union(_repeats(wanted, texts, length, shard_bytes, memory, tuple(c for c in CLASSES if c <= length // 2) or (1,)))
     spans = found.join(repeats, ["anchor", "context"]).select("key", (F.col("first") + F.col("low")).alias("first"), (F.col("first") + F.col("high")).alias("last"))
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias(runs))
     spans = staged(spans, "sub-spans")

@@ -52,6 +52,16 @@ def test_against_brute_force(spark, make_docs, memory):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == dict(enumerate(expected))
 
 
+@pytest.mark.parametrize("shard_bytes", [500, 4000])
+def test_a_hot_passage_in_many_surroundings(spark, make_docs, shard_bytes):
+    rng = random.Random(shard_bytes)
+    passage, other = prose(rng, 14), prose(rng, 9)
+    own = [prose(rng, rng.randint(2, 12)) + " " + passage + " " + rng.choice([prose(rng, 8), other + " " + prose(rng, 2)]) for _ in range(60)]
+    own += [prose(rng, 20) for _ in range(10)] + [own[0], own[1][5:]]
+    out = remove_repeats(make_docs(own), carry=["doc_id"], length=40, shard_bytes=shard_bytes).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == dict(enumerate(brute(own, 40)))
+
+
 def test_repeated_rows_repeat_each_other(spark):
     text = prose(random.Random(1), 40)
     df = spark.createDataFrame([(1, text), (1, text), (2, "x" + text[10:]), (None, text[:60])], "doc_id bigint, text string")
