@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.sources.compound import doc_files
 
 PAIR = "doc string, src string, gold string, source string, domain string"
 LABELLED = "src string, gold string, comma array<string>, form array<string>"
@@ -189,7 +190,7 @@ def office_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "para_no", "p.*")
 
 
-READERS = {".txt": text_files, ".docx": office_files, ".odt": office_files, ".jsonl": lambda s, p: json_lines(s, p, PAIR), ".tsv": frequency_list, ".parquet": lambda s, p: s.read.parquet(p)}
+READERS = {".txt": text_files, ".docx": office_files, ".odt": office_files, ".doc": doc_files, ".jsonl": lambda s, p: json_lines(s, p, PAIR), ".tsv": frequency_list, ".parquet": lambda s, p: s.read.parquet(p)}
 
 
 def open_any(spark: SparkSession, path: str) -> DataFrame:
