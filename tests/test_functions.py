@@ -64,3 +64,14 @@ def test_paragraph_kind(spark):
     kind = segment.paragraph_kind(F.col("t"), F.col("s"), F.col("m"))
     rows = spark.createDataFrame([(True, "Heading 1", ""), (False, "Heading 1", "1. "), (False, "", "- "), (False, "", "")], "t boolean, s string, m string")
     assert [r[0] for r in rows.select(kind).collect()] == ["table", "heading", "list", "body"]
+
+
+def test_exact_sentences_of_many_kinds():
+    cut = lambda t: [t[a:b] for a, b in segment.exact_spans(t)]
+    assert cut("Письмо принял Б. В. Котов. Ответ дан 3 мая 2024 г. Минтруду.") == ["Письмо принял Б. В. Котов.", "Ответ дан 3 мая 2024 г. Минтруду."]
+    assert cut("3.2. Сроки. Работа идёт! Так? Нет… Да.") == ["3.2. Сроки.", "Работа идёт!", "Так?", "Нет…", "Да."]
+    assert cut("IV. Итог по разделу. а) Пункт остаётся.") == ["IV. Итог по разделу. а) Пункт остаётся."]
+    assert cut("Сказано: «Хватит.» Все ушли (сразу.) Потом тихо") == ["Сказано: «Хватит.»", "Все ушли (сразу.)", "Потом тихо"]
+    assert cut("Цена 7 тыс. руб. за шт. и т.п. Всё ясно.") == ["Цена 7 тыс. руб. за шт. и т.п. Всё ясно."]
+    assert cut("Dr. Smith, e.g. Jones, came. Он рад.") == ["Dr. Smith, e.g. Jones, came.", "Он рад."]
+    assert segment.exact_spans("  Да.   Нет. ") == [(2, 5), (8, 12)] and segment.exact_spans(" \t") == []
