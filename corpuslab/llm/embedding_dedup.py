@@ -27,7 +27,7 @@ from corpuslab.llm.staging import staged
 
 BLOCK = 8
 #: Nodes that a cell should hold, nodes of a chunk, and rows of a tile of the comparison.
-CELL, CHUNK, TILE = 4096, 4096, 256
+CELL, CHUNK, TILE = 8192, 4096, 256
 _rotations: dict[int, np.ndarray] = {}
 
 
