@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.components import connected_components
-from corpuslab.llm.staging import staged
+from corpuslab.llm.staging import discard, staged
 
 BUCKETS, ROWS, MANTISSA = 256, 6, 10
 BANDS = BUCKETS // ROWS
@@ -295,7 +295,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Two documents link if the Jaccard similarity of their shingle sets is ``least`` or more; words are lower-cased
     (A-Z). Documents without words have no shingles, link with nothing and are their own component. Rows with the same
-    text are one node whatever their number; rows with a null id follow their text's component. Ids must be integers.
+    text are one node whatever their number; rows with a null id follow their text's component, but a text that occurs
+    under null ids alone links with nothing. Ids must be integers. Other columns are not carried, so none clashes; an empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     sketch = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(_sketch(width, table), "id bigint, n bigint, node bigint, regs binary")
@@ -354,6 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         edges = edges.union(found.select("a", "b"))
         grouped = connected_components(edges, "near-final")
     final = grouped
+    discard(shared, met, first, texts, links, home)
 
     least_id = nodes.select("node", "id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = staged(least_id.groupBy("component").agg(F.min("id").alias("component_id")).where("component_id is not null"), "near-smallest")

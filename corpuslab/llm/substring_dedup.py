@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corpuslab.llm import kernels as K
 from corpuslab.llm.anchors import find_anchors
 from corpuslab.llm.external import Vector
-from corpuslab.llm.staging import free_names, parallelism, staged
+from corpuslab.llm.staging import discard, free_names, parallelism, staged
 from corpuslab.llm.suffix_sort import repeated_runs
 
 #: Bytes of context that a shard should have on average, and scale of the memory that sorting one takes (some four times that at most).
@@ -250,7 +250,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     found = keyed.where(F.octet_length(text) >= length).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_anchors(length, gram), "key bigint, first bigint, reach smallint, ahead smallint, anchor bigint, context bigint")
     found = staged(found, "sub-anchors")
     twice = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "sub-twice")  # a written side lets AQE split the other
-    found = staged(found.join(twice, "anchor"), "sub-repeated")
+    every, found = found, staged(found.join(twice, "anchor"), "sub-repeated")
+    discard(every, twice)
     contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", F.col("reach").cast("bigint").alias("reach"), F.col("ahead").cast("bigint").alias("ahead"))).alias("copy"))
     contexts = staged(contexts, "sub-contexts")
     wanted = _mixed(contexts, "sub-wanted")
@@ -270,6 +271,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     spans = found.join(repeats, ["anchor", "context"]).select("key", (F.col("first") + F.col("low")).alias("first"), (F.col("first") + F.col("high")).alias("last"))
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias(runs))
     spans = staged(spans, "sub-spans")
+    discard(found, contexts, wanted)
 
     names = free_names(docs.select(*carry), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
     kinds = ["bigint", "bigint", "bigint", "string", "string"]

@@ -76,6 +76,20 @@ def test_language_of_odd_texts(spark, make_docs, odd_texts):
 # quality
 
 
+def test_forward_pass_against_one_document_at_a_time():
+    rng = np.random.default_rng(4)
+    sizes = [1, 3, 7, 2]
+    x, bounds = rng.normal(size=(sum(sizes), Q.FEATURES)), np.concatenate([[0], np.cumsum(sizes)])
+    model = Q.Model(seed=3)
+    model.mean, model.spread = rng.normal(size=Q.FEATURES), rng.random(Q.FEATURES) + 0.5
+    got, p = model.forward(x, bounds)["y"], model.p
+    for d in range(len(sizes)):
+        hidden = [np.tanh((row - model.mean) / model.spread @ p["E"] + p["e"]) for row in x[bounds[d] : bounds[d + 1]]]
+        weight = np.array([np.exp(np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"]))) @ p["w"]) for h in hidden])
+        pooled = sum(w * h for w, h in zip(weight / weight.sum(), hidden, strict=True))
+        assert np.isclose(got[d], 1 / (1 + np.exp(-(pooled @ p["c"] + p["b"][0]))))
+
+
 def numeric_gradient(model, x, bounds, label, weight, key, place):
     def loss():
         y = np.clip(model.forward(x, bounds)["y"], 1e-12, 1 - 1e-12)
@@ -224,10 +238,6 @@ def test_deep_elements_have_their_own_place():
 # licences
 
 
-def lcs_matches(text, template):
-    return max((sum(1 for a, b in zip(text[k:], template, strict=False) if a == b) for k in range(len(text))), default=0)
-
-
 @pytest.mark.parametrize("number", range(len(C.TEMPLATES)))
 def test_every_template_is_found_in_prose(number):
     name, text = C.TEMPLATES[number]
@@ -302,3 +312,21 @@ def test_licences_of_odd_texts(spark, make_docs, odd_texts):
     rows = C.scan(make_docs(odd_texts)).collect()
     assert len(rows) == len(odd_texts) and not any(r["licenses"] for r in rows)
     assert C.scan(make_docs([])).count() == 0
+
+
+def test_licences_against_full_alignment(spark):
+    """A template is found exactly where the alignment over the whole text, without a band, has enough words."""
+    rng = random.Random(8)
+    template = "permission is granted free of charge to any person who obtains a copy of these files and notes"
+    words = template.split()
+    texts = []
+    for _ in range(120):
+        own = [w if rng.random() > 0.12 else rng.choice(["", "else", w + " more"]) for w in words] if rng.random() < 0.7 else rng.sample(words, len(words))
+        texts.append(" ".join([prose(rng, rng.randint(0, 8)), *own, prose(rng, rng.randint(0, 8))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r["doc_id"]: r["licenses"] for r in C.scan(df, templates=[("X", template)]).collect()}
+    need = C.needed(0.8, len(words))
+    expected = {i: C.align(t.split(), words, 0, 10**6)[0] for i, t in enumerate(texts)}
+    assert {i for i, spans in found.items() if spans} == {i for i, n in expected.items() if n >= need}
+    assert all(max(s["matched"] for s in spans) == expected[i] for i, spans in found.items() if spans)
+    assert 30 < sum(n >= need for n in expected.values()) < 110
