@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import decontamination, mixing, near_dedup, quality, sharding
-from corpuslab.llm.staging import free_names, staged
+from corpuslab.llm.staging import discard, free_names, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score 0.5 or more); a third of the labels is held out from learning."""
+    """Documents that the quality classifier accepts (score 0.5 or more); a third of the labels is held out from learning.
+
+    Null and empty texts are scored as one empty passage; repeated rows get the same score; ties at 0.5 stay; an empty table
+    stays empty; without labels every score is 0.5 and all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     model = quality.learn(docs, labels)
     (score,) = free_names(docs, "quality_score")
@@ -34,19 +37,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten-word window of a benchmark item."""
+    """Documents without any ten-word window of a benchmark item. Null and empty texts have none and stay; repeated rows are
+    each judged; an empty benchmark keeps all."""
     (hits,) = free_names(docs, "n_hit")
     out = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
     return out.where(F.col(hits) == 0).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their target weights; a document may come twice or not at all."""
+    """The sources mixed to their target weights; a document may come twice or not at all. Null and empty texts have no words
+    and are never taken; a null source is one of its own, the last; repeated rows are taken or left together."""
     return mixing.mix(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards in a uniformly random order, sizes at most one apart."""
+    """Eight shards in a uniformly random order, sizes at most one apart. Nulls are hashed like any value; repeated rows get
+    places of their own; columns named shard or slot are replaced; an empty table stays empty."""
     return sharding.shard(docs, 8)
 
 
@@ -65,7 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:  # the next stage is written
+            discard(before)
+        before = docs
     return docs
