@@ -7,7 +7,7 @@ A pattern is matched by the regex engine of the JVM, so a pack runs inside the p
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +29,7 @@ class Rule:
     pattern: str
     fix: str | None
     outside_quotes: bool = False
+    script: str | None = None  # letters without which the pattern cannot match
 
 
 #: Runs of marks that no text needs.
@@ -54,6 +55,7 @@ RUSSIAN = [
     Rule("NUM_ADJ", "error", r"(?iU)\b(\d+) ((?:часов|дневн|кратн|этажн|процентн|месячн|минутн|метров)(?:ый|ой|ая|ое|ые|ого|ому|ым|ом|ую|ых|ыми)|летн(?:ий|яя|ее|ие|его|ему|им|ем|юю|их|ими))\b", "$1-$2"),
     Rule("ABOVE_JOIN", "error", r"(?iU)\b(выше|ниже) (указанн\p{L}+|перечисленн\p{L}+|изложенн\p{L}+)", "$1$2"),
 ]
+RUSSIAN = [replace(rule, script="[А-Яа-яЁё]") for rule in RUSSIAN]
 LATIN_LIKE, CYRILLIC_LIKE = "aceopxyABCEHKMOPTX", "асеорхуАВСЕНКМОРТХ"
 
 
@@ -75,12 +77,27 @@ def _places() -> Callable[[Column, Column], Column]:
     return F.arrow_udf(run, "array<int>")
 
 
+def applies(text: Column, rule: Rule) -> Column:
+    """Whether a text has a match of the rule."""
+    return text.rlike(rule.pattern) if rule.script is None else text.rlike(rule.script) & text.rlike(rule.pattern)
+
+
+def _any(text: Column, rules: list[Rule]) -> Column:
+    out = F.lit(False)
+    for rule in rules:
+        out = out | applies(text, rule)
+    return out
+
+
 def pattern_spans(text: Column, rule: Rule) -> Column:
     """Array of the rule's findings (start, end, rank, rule, fix) in a text, by start: matches by the JVM, their places by
-    prefix sums over lengths, all in the row."""
-    hits = F.coalesce(F.regexp_extract_all(text, F.lit(rule.pattern), 0), F.array().cast("array<string>"))
-    parts = F.coalesce(F.split(text, rule.pattern, -1), F.array().cast("array<string>"))
-    starts = _places()(F.transform(parts, lambda p: F.length(p)), F.transform(hits, lambda h: F.length(h)))
+    prefix sums over lengths, all in the row. A text without the rule's script or without a match costs one look."""
+    none = F.array().cast("array<string>")
+    some = applies(text, rule)
+    every = F.regexp_extract_all(text, F.lit(rule.pattern), 0)
+    length = lambda x: F.length(x)
+    starts = _places()(F.transform(F.when(some, F.split(text, rule.pattern, -1)).otherwise(none), length), F.transform(F.when(some, every).otherwise(none), length))
+    hits = F.when(F.size(starts) > 0, every).otherwise(none)
     fix = lambda h: F.lit(None).cast("string") if rule.fix is None else F.lit(rule.fix) if "$" not in rule.fix else F.regexp_replace(h, _bare(rule.pattern), rule.fix)
     one = lambda h, a: F.struct(a.alias("start"), (a + F.length(h)).cast("int").alias("end"), F.lit(LEVELS[rule.level]).alias("rank"), F.lit(rule.name).alias("rule"), fix(h).alias("fix"))
     return F.zip_with(hits, starts, one)
@@ -90,7 +107,7 @@ def pattern_findings(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     """One row a match: the columns of ``df`` without the text, then start, end, rank, rule and fix. One pass over the rows for all rules."""
     keep = [c for c in df.columns if c != text]
     found = F.concat(*[pattern_spans(F.col(text), rule) for rule in rules])
-    return df.select(*keep, F.explode(found).alias("_f")).select(*keep, "_f.*")
+    return df.where(_any(F.col(text), rules)).select(*keep, F.explode(found).alias("_f")).select(*keep, "_f.*")
 
 
 def _bare(pattern: str) -> str:
@@ -118,11 +135,14 @@ def double_words(words: Column) -> Column:
 
 def guarded_findings(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     """Findings of a pack, without any in a bibliography entry, nor those in quotes of rules that look outside them only."""
-    quotes = pattern_spans(F.col(text), Rule("QUOTED", "check", C.QUOTED, None))
-    free = lambda f: ~F.exists("_quotes", lambda q: (q["start"] <= f["start"]) & (f["start"] < q["end"]))
     found = [pattern_spans(F.col(text), rule) for rule in rules]
     keep = [c for c in df.columns if c != text]
-    rows = df.where(~C.bibliography(F.col(text))).select(*keep, quotes.alias("_quotes"), *[x.alias(f"_{k}") for k, x in enumerate(found)])
+    if not any(rule.outside_quotes for rule in rules):
+        rows = df.where(_any(F.col(text), rules) & ~C.bibliography(F.col(text))).select(*keep, F.explode(F.concat(*found)).alias("_f"))
+        return rows.select(*keep, "_f.*")
+    quotes = pattern_spans(F.col(text), Rule("QUOTED", "check", C.QUOTED, None))
+    free = lambda f: ~F.exists("_quotes", lambda q: (q["start"] <= f["start"]) & (f["start"] < q["end"]))
+    rows = df.where(_any(F.col(text), rules) & ~C.bibliography(F.col(text))).select(*keep, quotes.alias("_quotes"), *[x.alias(f"_{k}") for k, x in enumerate(found)])
     parts = [F.filter(f"_{k}", free) if rule.outside_quotes else F.col(f"_{k}") for k, rule in enumerate(rules)]
     return rows.select(*keep, F.explode(F.concat(*parts)).alias("_f")).select(*keep, "_f.*")
 
