@@ -4,12 +4,13 @@ Unit vectors with cosine c are at squared distance 2 - 2c. After a random rotati
 eight dimensions; if two vectors are within the squared distance D, at least one of the m blocks is within D / m. So the
 candidates of the m range joins, one a block, contain every link, and the union is verified exactly in double precision.
 
-Distribution: equal vectors of a label are one node. Each label is cut by block and by a grid over the block's first
+Distribution: equal vectors of a label are one node. A label is cut by block and by a grid over the block's first
 dimensions, as many as its population asks for; each vector is at home in one cell and probes the cells that its range
-reaches. In a cell both sides are sorted by the block's first coordinate, and a tile is compared with what lies in its
-range only. A pair met in several blocks counts in the first block that joins it. Cells are compared chunk by chunk, and
-a task returns only the number of links and one edge a vector, never pairs, so a dense group costs no more output than
-its members.
+reaches. A label that asks for none is one cell, and its blocks are joined one after another in the same task, so its
+vectors move once. In a cell both sides are sorted by the block's first coordinate, and a tile is compared with what lies
+in its range only. A pair met in several blocks counts in the first block that joins it. Cells are compared chunk by
+chunk, and a task returns only the number of links and one edge a vector, never pairs, so a dense group costs no more
+output than its members.
 """
 
 from __future__ import annotations
@@ -71,15 +72,15 @@ def _deal(least: float, cell: int):
                 grid = np.array([grid_dims(n, cell) for n in population[rows]])
                 for g in np.unique(grid):
                     own = np.flatnonzero(grid == g)
+                    if g == 0:  # all blocks are joined where the only cell is, so a vector moves once
+                        out.append((rows[own], label[rows[own]] * 1_000_003 + dim, np.full(len(own), -1), np.full(len(own), 2)))
+                        continue
                     for j in range(blocks):
                         at = turned[own, j * BLOCK : j * BLOCK + g] / (2 * reach)
                         home = np.floor(at).astype(np.int64)
                         side = np.where(at - home < 0.5, -1, 1)  # a range of half a cell reaches one neighbour a dimension
                         near = np.where(side < 0, at - home, 1 - (at - home)) * 2 * reach
                         key = lambda c, j=j, own=own: _mixed(np.column_stack([label[rows[own]], np.full(len(own), dim * 4096 + j), c]))  # noqa: E731, B023
-                        if g == 0:
-                            out.append((rows[own], key(home), np.full(len(own), j), np.full(len(own), 2)))
-                            continue
                         out.append((rows[own], key(home), np.full(len(own), j), np.zeros(len(own), np.int64)))
                         for step in itertools.product((0, 1), repeat=int(g)):
                             step = np.array(step)
@@ -116,49 +117,53 @@ class _Task:
 
     def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(node, links, lowest node of its part of the graph) of each node at home or probing that links."""
-        sides = [[r for r in self.rows if r[0] == k] for k in (0, 1)]
+        sides = [[r for r in self.rows if r[0] in (k, 2)] for k in (0, 1)]
         if not sides[0] or not sides[1]:
             return (np.zeros(0, np.int64),) * 3
         node, weight = ([np.array([r[k] for r in s], np.int64) for s in sides] for k in (1, 2))
         unit = [units(np.array([r[3] for r in s], np.float64)) for s in sides]
         turned = [x @ rotation(x.shape[1]) for x in unit]
-        order = [np.argsort(x[:, self.block * BLOCK], kind="stable") for x in turned]
-        node, weight, unit, turned = ([x[k] for x, k in zip(both, order, strict=True)] for both in (node, weight, unit, turned))
+        blocks = turned[0].shape[1] // BLOCK
+        found = [part for j in (range(blocks) if self.block < 0 else [self.block]) for part in self._range_join(j, node, weight, unit, turned)]
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        nodes, counts, lows = (np.concatenate([f[k] for f in found]) for k in range(3))
+        keep = (nodes != lows) | (counts > 0)
+        return nodes[keep], counts[keep], lows[keep]
+
+    def _range_join(self, block: int, *both: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(node, links, lowest node of its part of the graph), of pairs that this block is the first one to join."""
+        part = slice(block * BLOCK, block * BLOCK + BLOCK)
+        order = [np.argsort(x[:, part.start], kind="stable") for x in both[3]]
+        node, weight, unit, turned = ([x[k] for x, k in zip(pair, order, strict=True)] for pair in both)
         blocks = turned[0].shape[1] // BLOCK
         budget = max(0.0, 2 - 2 * self.least) / blocks + 1e-6
-        part = slice(self.block * BLOCK, self.block * BLOCK + BLOCK)
         flat = [x[:, part].astype(np.float32) for x in turned]
-        norm = [(x**2).sum(1) for x in flat]
-        first = [x[:, part.start] for x in turned]
-        reach = np.sqrt(budget) + 1e-6
-        links = np.zeros(len(node[0]), np.int64)
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
-        everyone = [node, weight, unit, turned]
+        norm, first, reach = [(x**2).sum(1) for x in flat], [x[:, part.start] for x in turned], np.sqrt(budget) + 1e-6
         for a in range(0, len(node[0]), TILE):
             tile = slice(a, a + TILE)
             low, high = np.searchsorted(first[1], first[0][a] - reach, "left"), np.searchsorted(first[1], first[0][tile][-1] + reach, "right")
             if low == high:
                 continue
-            node, weight, unit, turned = ([x[0], x[1][low:high]] for x in everyone)
             product = flat[0][tile] @ flat[1][low:high].T
             product *= -2
             product += norm[1][low:high]
             near = product <= np.float32(budget + 1e-5) - norm[0][tile][:, None]
-            near &= node[0][tile][:, None] != node[1]
+            near &= node[0][tile][:, None] != node[1][low:high]
             left, right = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
             if not len(left):
                 continue
             near = near[np.ix_(left, right)]
-            linked = near & (unit[0][a + left] @ unit[1][right].T >= self.least)
-            i, k = np.nonzero(linked)  # counted in the first block that joins the pair
+            left, right = left + a, right + low
+            linked = near & (unit[0][left] @ unit[1][right].T >= self.least)
+            i, k = np.nonzero(linked)
             for at in range(0, len(i), 1 << 16):
                 p, q = i[at : at + (1 << 16)], k[at : at + (1 << 16)]
-                apart = ((turned[0][a + left[p]] - turned[1][right[q]]).reshape(len(p), blocks, BLOCK)[:, : self.block + 1] ** 2).sum(2)
+                apart = ((turned[0][left[p]] - turned[1][right[q]]).reshape(len(p), blocks, BLOCK)[:, : block + 1] ** 2).sum(2)
                 other = (apart[:, :-1] <= budget).any(1) | (apart[:, -1] > budget)
                 linked[p[other], q[other]] = False
-            links[a + left] += linked @ weight[1][right]
             # One edge a node: the lowest label that reaches it, repeated until nothing changes.
-            low_left, low_right = node[0][a + left].copy(), node[1][right].copy()
+            low_left, low_right = node[0][left].copy(), node[1][right].copy()
             top = np.iinfo(np.int64).max
             while True:
                 new_left = np.minimum(low_left, np.where(linked, low_right, top).min(1))
@@ -166,13 +171,8 @@ class _Task:
                 if (new_left == low_left).all() and (new_right == low_right).all():
                     break
                 low_left, low_right = new_left, new_right
-            edges += [(node[0][a + left], low_left), (node[1][right], low_right)]
-        some = np.flatnonzero(links)
-        nodes = np.concatenate([node[0][some], *(e[0] for e in edges)])
-        lows = np.concatenate([node[0][some], *(e[1] for e in edges)])
-        counts = np.concatenate([links[some], *(np.zeros(len(e[0]), np.int64) for e in edges)])
-        keep = (nodes != lows) | (counts > 0)
-        return nodes[keep], counts[keep], lows[keep]
+            yield node[0][left], linked @ weight[1][right], low_left
+            yield node[1][right], np.zeros(len(right), np.int64), low_right
 
 
 def _compare(least: float):
@@ -208,21 +208,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embeddi
     be integers; rows with a null id follow their vector's component.
     """
     x = F.col("v")
+    kind = "array<float>" if dict(vectors.dtypes)[vec] == "array<float>" else "array<double>"  # floats stay half as large; all arithmetic is in doubles
     good = x.isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("bigint").alias("label"), F.col(vec).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("bigint").alias("label"), F.col(vec).cast(kind).alias("v"))
     rows = rows.withColumn("node", F.when(F.coalesce(good, F.lit(False)), F.xxhash64("label", "v")))
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("id"), F.first("v").alias("vec"))
     nodes = staged(nodes.withColumn("dim", F.size("vec")), "vec-nodes")
     population = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("population"))
     dealt = nodes.join(population, ["label", "dim"]).select("dim", "population", "node", "weight", "vec", "label")
-    dealt = dealt.mapInArrow(_deal(least, cell), "cell bigint, block int, role int, node bigint, weight bigint, vec array<double>")
+    dealt = dealt.mapInArrow(_deal(least, cell), f"cell bigint, block int, role int, node bigint, weight bigint, vec {kind}")
     dealt = staged(dealt, "vec-dealt")
     chunks = dealt.groupBy("cell", "block").agg(*[F.greatest(F.ceil(F.count_if(F.col("role").isin(k, 2)) / chunk), F.lit(1)).cast("int").alias(name) for k, name in ((0, "homes"), (1, "probes"))])
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     both = dealt.join(chunks, ["cell", "block"])
-    homes = both.where("role in (0, 2)").select("cell", "block", part("homes").alias("home"), F.explode(every("probes")).alias("probe"), F.lit(0).alias("role"), "node", "weight", "vec")
-    probes = both.where("role in (1, 2)").select("cell", "block", F.explode(every("homes")).alias("home"), part("probes").alias("probe"), F.lit(1).alias("role"), "node", "weight", "vec")
+    homes = both.where("role in (0, 2)").select("cell", "block", part("homes").alias("home"), F.explode(every("probes")).alias("probe"), "role", "node", "weight", "vec")
+    probes = both.where("role in (1, 2)").select("cell", "block", F.explode(every("homes")).alias("home"), part("probes").alias("probe"), "role", "node", "weight", "vec")
+    # A node that is on both sides has the same chunk on both: where they meet it comes once, with role 2.
+    homes = homes.withColumn("role", F.when((F.col("role") == 2) & (F.col("home") == F.col("probe")), 2).otherwise(0))
+    probes = probes.where("role = 1 or home <> probe").withColumn("role", F.lit(1))
     tasks = homes.union(probes).repartition("cell", "block", "home", "probe").sortWithinPartitions("cell", "block", "home", "probe")
     found = staged(tasks.mapInArrow(_compare(least), "node bigint, links bigint, low bigint"), "vec-links")
 
