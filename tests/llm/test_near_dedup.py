@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm import near_dedup as N
@@ -131,3 +132,33 @@ def test_word_hashes_ignore_ascii_case_only():
     data = np.frombuffer("Ab ab É é".encode(), np.uint8)
     h = K.Words(data, np.array([0, len(data)]), K.SPACE_WORDS).hash
     assert h[0] == h[1] and h[2] != h[3]
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_components_of_the_table_equal_an_exact_join(spark, data, width):
+    """All pairs whose sizes allow a link, by sets of words and not of hashes."""
+    lower = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate(lower))
+        whole = [tuple(words)] if words else []
+        sets[r["doc_id"]] = frozenset(tuple(words[k : k + width]) for k in range(len(words) - width + 1)) if len(words) >= width else frozenset(whole)
+    component = {i: i for i in sets}
+
+    def root(i):
+        while component[i] != i:
+            i = component[i]
+        return i
+
+    order = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            if 100 * len(sets[a]) < 80 * len(sets[b]):
+                break
+            shared = len(sets[a] & sets[b])
+            if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = sorted((root(a), root(b)))
+                component[y] = x
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(docs, width=width).collect()}
+    assert got == {i: (len(sets[i]), root(i)) for i in sets}
