@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import decontamination, embedding_dedup, html_extraction, language_id, licenses, mixing, near_dedup, quality, sharding, substring_dedup
+from corpuslab.llm import decontamination, divergence, embedding_dedup, html_extraction, language_id, licenses, mixing
+from corpuslab.llm import near_dedup, quality, sharding, spelling, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_quality": quality.query_quality,
@@ -19,8 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowed_licenses": licenses.query_licenses,
     "op9_pareto_mixing": mixing.query_mix,
     "op10_induced_sorting_repeats": substring_dedup.query_remove_repeats,
+    "op11_symmetric_delete_variants": spelling.query_variants,
+    "op12_batched_token_counts": token_counts.query_token_counts,
+    "op13_tiled_source_divergence": divergence.query_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_prefix_filter_decontamination": decontamination.ORACLE,
+    "op11_symmetric_delete_variants": spelling.ORACLE,
+    "op13_tiled_source_divergence": divergence.ORACLE,
 }
