@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 The page becomes a tree of block elements and text blocks. Each node is content or not; its features (tag, names in
-class, id and role, length, link share, punctuation, place) give a unary potential, and each edge has a parent-child
-potential that depends on the kind of the child. Sum-product messages go up and down the tree once and yield the exact
+class, id and role, length, link share, punctuation, place, what share of the page's prose it and its siblings hold, what
+it stands in) give a unary potential, and each edge has a parent-child potential that depends on the kind of the child. Sum-product messages go up and down the tree once and yield the exact
 marginal of every node; text blocks that are content with a chance of one half or more are kept, in page order.
 
 The weights maximise the likelihood of labelled pages, whose gradient needs the same messages. No labelled pages come
@@ -61,7 +61,15 @@ _tag_number = {t: i for i, t in enumerate(TAGS)}
 KINDS = 7
 _kind = {"#text": 0, "p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "ul": 3, "ol": 3, "li": 3, "dl": 3, "dt": 3, "dd": 3, "nav": 4, "header": 4, "footer": 4, "aside": 4, "form": 4, "fieldset": 4, "dialog": 4, "article": 5, "main": 5}
 _tag_kind = np.array([_kind.get(t, 6) for t in TAGS])
-FEATURES = len(TAGS) + len(STEMS) + 12
+_BASE = len(TAGS) + len(STEMS)
+FEATURES = _BASE + 29
+#: Elements that hold no article, those of a list or a line, and elements that are an article.
+_OUTER = np.array([t in ("nav", "footer", "aside", "form", "fieldset", "dialog") for t in TAGS])
+_LISTED = np.array([t in ("li", "ul", "ol", "dl", "dt", "dd", "p", "#text") for t in TAGS])
+_REGION = np.array([t in ("article", "main") for t in TAGS])
+#: Stems (by place in STEMS) whose names no article has; page headers and tags may be in one.
+_FOREIGN = sum(1 << k for k in (0, 2, 3, 4, 5, 6, 8))
+_CONTENT = 1 << 9
 
 
 @lru_cache(maxsize=50_000)
@@ -98,7 +106,7 @@ class Forest:
 
     def add(self, page: str) -> None:
         """Parse a page; malformed markup never fails: unclosed tags, stray ends and broken comments are passed over."""
-        root = self._node(-1, _tag_number["html"], 0, 0)
+        root, directly = self._node(-1, _tag_number["html"], 0, 0), 0  # the label of what stands directly in the body
         self.roots.append(root)
         stack, nodes = ["html"], [root]
         places: dict[str, list[int]] = {}  # of open elements in the stack, by name
@@ -110,7 +118,7 @@ class Forest:
             if pieces:
                 text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
                 if text:
-                    self._node(nodes[-1], _tag_number["#text"], 0, self.label[nodes[-1]], text, linked)
+                    self._node(nodes[-1], _tag_number["#text"], 0, directly if nodes[-1] == root else self.label[nodes[-1]], text, linked)
                 pieces.clear()
             linked = 0
 
@@ -156,6 +164,7 @@ class Forest:
                 continue
             flush()
             if name in ("html", "body", "head"):
+                directly = int("data-y" in rest and bool(_LABEL.search(rest)) and _LABEL.search(rest)[1] == "1") if not end else directly
                 continue
             if end:
                 if places.get(name):
@@ -173,7 +182,7 @@ class Forest:
             names = " ".join(x.strip("\"'") for x in _NAMES.findall(rest)) if rest and "=" in rest else ""
             label = _LABEL.search(rest) if rest and "data-y" in rest else None
             parent = nodes[-1]
-            number = self._node(parent, _tag_number.get(name, len(TAGS) - 1), _named(names) if names else 0, int(label[1]) if label else self.label[parent])
+            number = self._node(parent, _tag_number.get(name, len(TAGS) - 1), _named(names) if names else 0, int(label[1]) if label else directly if parent == root else self.label[parent])
             places.setdefault(name, []).append(len(stack))
             stack.append(name)
             nodes.append(number)
@@ -194,16 +203,29 @@ class Forest:
         words = np.array([t.count(" ") + 1 if t else 0 for t in self.text], float)
         marked = np.array(["©" in t or "&copy" in t for t in self.text], float)
         blocks, paragraphs = (chars > 0).astype(float), (tag == _tag_number["p"]).astype(float)
-        own = chars.copy()
-        totals = np.stack([chars, linked, stops, words, blocks, paragraphs])
-        for at in reversed(by_level(level)[1:]):
+        own, own_stops, own_links = chars.copy(), stops.copy(), linked > 0.6 * np.maximum(1, chars)
+        prose = chars * ((stops > 0) & (words >= 6) & (linked < 0.5 * chars))
+        titles = (tag == _tag_number["h1"]).astype(float)
+        sections = _REGION[tag].astype(float)
+        totals = np.stack([chars, linked, stops, words, blocks, paragraphs, prose, titles, sections])
+        levels = by_level(level)
+        for at in reversed(levels[1:]):
             for row in totals:
                 np.add.at(row, parent[at], row[at])
+        inner = np.zeros(n)  # paragraphs that are children
+        np.add.at(inner, parent[parent >= 0], paragraphs[parent >= 0])
+        foreign, region, named = _OUTER[tag] | (bits & _FOREIGN > 0), _REGION[tag], bits & _CONTENT > 0
+        headed, host = tag == _tag_number["header"], np.maximum(parent, 0)  # host: the block that a list or a line stands in
+        for at in levels[1:]:
+            for flag in (foreign, region, named, headed):
+                flag[at] |= flag[parent[at]]
+            listed = at[_LISTED[tag[parent[at]]]]
+            host[listed] = host[parent[listed]]
         page = np.zeros(n, np.int64)
         page[self.roots] = 1
         page = np.array(self.roots)[np.cumsum(page) - 1]
-        chars, linked, stops, words, blocks, paragraphs = totals
-        base = len(TAGS) + len(STEMS)
+        chars, linked, stops, words, blocks, paragraphs, prose, titles, sections = totals
+        base, above = _BASE, np.maximum(parent, 0)
         some = np.maximum(1, chars)
         x[:, base] = 1
         x[:, base + 1] = np.log1p(chars) / 6
@@ -217,6 +239,24 @@ class Forest:
         x[:, base + 9] = (own > 0) & (words < 5)
         x[:, base + 10] = (own > 0) & (stops == 0)
         x[:, base + 11] = np.minimum(depth, 10) / 10
+        whole, parted = np.maximum(1, prose[page]), sections[page] > 0
+        x[:, base + 12] = prose / whole
+        x[:, base + 13] = prose[above] / whole
+        x[:, base + 14] = np.minimum(inner[above], 6) / 6
+        x[:, base + 15] = foreign
+        x[:, base + 16] = parted & region
+        x[:, base + 17] = parted & ~region & (sections == 0)
+        x[:, base + 18] = ~parted & ~foreign
+        x[:, base + 19] = ~parted & ~foreign & (linked / some > 0.6)
+        x[:, base + 20] = region & ~foreign
+        x[:, base + 21] = headed & ~region
+        x[:, base + 22] = headed & region & (titles > 0)
+        x[:, base + 23] = (own > 0) & (own_stops == 0) & own_links & region & ~foreign
+        x[:, base + 24] = named & ~foreign
+        x[:, base + 25] = ~foreign & (prose / whole > 0.3)
+        x[:, base + 26] = ~parted & ~foreign & (titles > 0) & (own + chars < 300)
+        x[:, base + 27] = (linked / some > 0.6) & (prose[host] == 0)
+        x[:, base + 28] = (linked / some > 0.6) & (prose[host] / whole > 0.3) & ~foreign
         return parent, level, _tag_kind[tag], x
 
 
@@ -315,7 +355,7 @@ def labelled_pages(n: int, seed: int = 41) -> Iterator[str]:
         if kind == 6:
             return f'<div{name("share", "social", "tags", "follow")} data-y="0">{links("span", rng.randint(2, 6))}</div>'
         if kind == 7:
-            return f'<header data-y="0"><h2>{sentence(1, 3)}</h2><p>{sentence(2, 8)}</p></header>'
+            return f'<header data-y="0"><h{rng.choice("122")}>{sentence(1, 3)}</h2><p>{sentence(2, 8)}</p></header>'
         return f'<{tag}{name("related", "recommended", "popular", "teaser")} data-y="0"><h4>{sentence(1, 4)}</h4>{"".join("<p><a href=/x>" + sentence() + "</a></p>" for _ in range(rng.randint(1, 4)))}</{tag}>'
 
     def body() -> str:
@@ -339,21 +379,54 @@ def labelled_pages(n: int, seed: int = 41) -> Iterator[str]:
                 parts.append(boilerplate())
         return "".join(parts)
 
+    def plain() -> str:
+        """A name that says nothing, or none."""
+        return rng.choice(("", "", f' id="{rng.choice(plain_names)}"', f' class="{rng.choice(plain_names)} {rng.choice(plain_names)}"'))
+
+    def around(k: int) -> str:
+        """What stands before or after an article, each part labelled."""
+        return "".join(boilerplate() for _ in range(rng.randint(0, k)))
+
+    def headline() -> str:
+        title = f"<h1>{sentence(1, 10)}</h1>"
+        return rng.choice((title, title, title, "", f"<header>{title}</header>", f"<header data-y=\"1\">{title}</header>"))
+
+    def simple() -> str:
+        """Some paragraphs of one kind, short or long, at times with a list of links."""
+        low, high = rng.choice(((1, 2), (2, 2), (1, 4), (3, 8)))
+        paragraphs = [f"<p>{prose(low, high)}</p>" for _ in range(rng.randint(2, 9))]
+        if rng.random() < 0.35:
+            paragraphs.insert(rng.randint(1, len(paragraphs)), f"<ul>{links('li', rng.randint(2, 4))}</ul>")
+        return "".join(paragraphs)
+
+    plain_names = ["c1", "x7", "col-8", "block", "row", "wrap2", "grid", "left", "w100", "inner", "box", "k12", "page", "layout"]
     for _ in range(n):
-        tag = rng.choice(("article", "article", "main", "div", "section"))
-        named = name("content", "post", "entry-content", "article-body", "story", "main-content") if tag in ("div", "section") or rng.random() < 0.3 else ""
-        title = f"<h1>{sentence(1, 10)}</h1>" if rng.random() < 0.85 else ""
-        article = f'<{tag}{named} data-y="1">{title}{body()}</{tag}>'
-        if rng.random() < 0.3:
-            article = f"<div{name('wrapper', 'container', 'page', 'layout')}>{article}{''.join(boilerplate() for _ in range(rng.randint(0, 2)))}</div>"
-        before, after = ("".join(boilerplate() for _ in range(rng.randint(0, 3))) for _ in "ab")
-        nav = rng.choice(("", f'<nav data-y="0"><ul>{links("li", rng.randint(3, 8))}</ul></nav>', f'<nav data-y="0"><ul>{links("li", rng.randint(3, 8))}</ul></nav>'))
+        nav = rng.choice(("", f'<nav data-y="0"><ul>{links("li", rng.randint(3, 8))}</ul></nav>', f'<nav{name("menu", "nav", "top")} data-y="0"><ul>{links("li", rng.randint(3, 8))}</ul></nav>', f'<div data-y="0">{links("span", rng.randint(3, 8))}</div>'))
         foot = rng.choice(("", f'<footer data-y="0">&copy; {word()}.example &middot; {sentence()}</footer>', f'<footer data-y="0"><p>&copy; {word()} {sentence()}</p><ul>{links("li", 4)}</ul></footer>', f'<div{name("footer", "site-footer")} data-y="0">{sentence()} <a href="/">{word()}</a></div>'))
-        yield f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{nav}{before}{article}{after}{foot}</body></html>"
+        article, layout = headline() + rng.choice((body, simple))(), rng.random()
+        if layout < 0.5:  # an element that says that it is the article
+            tag = rng.choice(("article", "article", "main", "div", "section"))
+            named = name("content", "post", "entry-content", "article-body", "story", "main-content") if tag in ("div", "section") or rng.random() < 0.3 else ""
+            article = f'<{tag}{named} data-y="1">{article}</{tag}>'
+            if rng.random() < 0.3:
+                article = f"<div{name('wrapper', 'container', 'page', 'layout')}>{article}{around(2)}</div>"
+            inside, directly = f"{nav}{around(3)}{article}{around(3)}{foot}", 0
+        elif layout < 0.65:  # an element without a telling name
+            tag = rng.choice(("div", "div", "section"))
+            article = f'<{tag}{plain()} data-y="1">{article}</{tag}>'
+            inside, directly = f"{nav}{around(2)}{article}{around(2)}{foot}", 0
+        elif layout < 0.78:  # no element at all
+            inside, directly = f"{nav}{around(2)}{article}{around(2)}{foot}", 1
+        elif layout < 0.9:  # one element with all parts of the page side by side
+            inside, directly = f'<div{plain()} data-y="1">{nav}{around(1)}{article}{around(2)}{foot}</div>', 0
+        else:  # a table of columns
+            left, right = (f'<td data-y="0">{rng.choice(("<ul>" + links("li", 5) + "</ul>", around(1)))}</td>' for _ in "ab")
+            inside, directly = f'{nav}<table><tr>{rng.choice(("", left))}<td{plain()} data-y="1">{article}</td>{rng.choice(("", right))}</tr></table>{foot}', 0
+        yield f'<!DOCTYPE html><html><head><title>{word()}</title></head><body data-y="{directly}">{inside}</body></html>'
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 400) -> Model:
+def trained(pages: int = 700) -> Model:
     """The model learned from the composed pages; always the same."""
     forest, model = Forest(), Model()
     for page in labelled_pages(pages):

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -39,6 +40,23 @@ def test_parse_against_brute_force():
     assert got.tolist() == [[phrases(b, labelled[x]) for x in parser.languages] for b in raw]
 
 
+CYCLE = "".join(random.Random(4).choice("abdeo ") for _ in range(97))
+
+
+@pytest.mark.parametrize("text", ["a", "ab", CYCLE, "abcd", "q", "aq", "abcd" * 90 + "q"], ids=range(7))
+def test_repetitive_text_is_parsed_in_linear_time(text):
+    rng = random.Random(3)
+    labelled = {"aa": prose(rng, 500).encode(), "bb": b"xa zo aaa aab", "cc": (b"abcd" * 40 + b" ") * 3}
+    parser, text = L.Parser(labelled), text.encode()
+    for length in (1, 300, 5000, 20_000):
+        raw = (text * (length // len(text) + 1))[:length]
+        got = parser.phrases(np.frombuffer(b"xa " + raw, np.uint8), np.array([0, 3, 3, 3 + length]))
+        assert got.tolist() == [[phrases(b, labelled[x]) for x in parser.languages] for b in (b"xa ", b"", raw)]
+    raw, start = np.frombuffer((text * (10_000_000 // len(text) + 1))[:10_000_000], np.uint8), time.time()
+    parser.phrases(raw, np.array([0, len(raw)]))
+    assert time.time() - start < 60  # some 4 s, of a machine that does nothing else
+
+
 def test_suffix_automaton_knows_every_substring_and_no_other():
     rng = random.Random(2)
     text = bytes(rng.choice(b"abc") for _ in range(60))
@@ -190,6 +208,47 @@ def test_pages_of_the_table(spark, data):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+_SENTENCES = "Ein Satz steht hier allein. Noch einer folgt ihm nach."
+_P, _H, _NAV, _FOOT = f"<p>{_SENTENCES}</p>", "<h1>Titel</h1>", "<nav class=menu><ul><li><a href=/a>Start</a></li><li><a href=/b>News</a></li></ul></nav>", "<footer>&copy; 2020 Firma</footer>"
+_LINKS = "<ul><li><a href=/x>Erster Punkt</a></li><li><a href=/y>Zweiter Punkt</a></li></ul>"
+NAMELESS = {
+    "five paragraphs in the body": (f"{_NAV}{_H}{_P * 5}{_FOOT}", ["Titel"] + [_SENTENCES] * 5),
+    "three paragraphs in the body": (f"{_NAV}{_H}{_P * 3}{_FOOT}", ["Titel"] + [_SENTENCES] * 3),
+    "one paragraph in the body": (f"{_NAV}{_H}{_P}{_FOOT}", ["Titel", _SENTENCES]),
+    "five paragraphs in a div": (f"{_NAV}<div>{_H}{_P * 5}</div>{_FOOT}", ["Titel"] + [_SENTENCES] * 5),
+    "three paragraphs in a div": (f"{_NAV}<div>{_H}{_P * 3}</div>{_FOOT}", ["Titel"] + [_SENTENCES] * 3),
+    "a div without a title": (f"{_NAV}<div>{_P * 3}</div>{_FOOT}", [_SENTENCES] * 3),
+    "a div with a name that says nothing": (f"{_NAV}<div id=c1>{_H}{_P * 5}</div>{_FOOT}", ["Titel"] + [_SENTENCES] * 5),
+    "no other parts": (f"{_H}{_P * 3}", ["Titel"] + [_SENTENCES] * 3),
+    "a title in a header": (f"{_NAV}<article><header>{_H}</header>{_P * 3}</article>{_FOOT}", ["Titel"] + [_SENTENCES] * 3),
+    "linked items in an article": (f"{_NAV}<article>{_H}{_P * 2}{_LINKS}{_P}</article>{_FOOT}", ["Titel", _SENTENCES, _SENTENCES, "Erster Punkt", "Zweiter Punkt", _SENTENCES]),
+    "columns of a table": (f"{_NAV}<table><tr><td>{_LINKS}</td><td>{_H}{_P * 4}</td></tr></table>{_FOOT}", ["Titel"] + [_SENTENCES] * 4),
+    "an aside beside it": (f"{_NAV}{_H}{_P * 4}<aside><h3>Mehr</h3>{_LINKS}</aside>{_FOOT}", ["Titel"] + [_SENTENCES] * 4),
+    "two sections": (f"{_NAV}<section>{_H}{_P}</section><section><h2>Zwei</h2>{_P * 2}</section>{_FOOT}", ["Titel", _SENTENCES, "Zwei", _SENTENCES, _SENTENCES]),
+    "all parts in one div": (f"<div>{_NAV}{_H}{_P * 3}<div class=comments><p>Nett gesagt, danke sehr. Bis bald.</p></div>{_FOOT}</div>", ["Titel"] + [_SENTENCES] * 3),
+}
+
+
+@pytest.mark.parametrize("layout", NAMELESS)
+def test_articles_without_a_telling_container(layout):
+    inside, blocks = NAMELESS[layout]
+    assert H.main_texts([f"<html><body>{inside}</body></html>"], H.trained()) == ["\n\n".join(blocks)]
+
+
+def test_articles_of_composed_pages_are_kept():
+    pages, shares = list(H.labelled_pages(1000, seed=11)), []
+    for first in range(0, 1000, 200):
+        forest = H.Forest()
+        for page in pages[first : first + 200]:
+            forest.add(page)
+        content, label, text = H.trained().marginals(forest) >= 0.5, np.array(forest.label) == 1, np.array([len(t) for t in forest.text])
+        page = np.searchsorted(forest.roots, np.arange(len(text)), side="right") - 1
+        there, found = np.bincount(page, text * label), np.bincount(page, text * (label & content))
+        shares += (found[there > 0] / there[there > 0]).tolist()
+        assert found[there >= 100].min() > 0
+    assert np.mean(np.array(shares) > 0.9) > 0.99 and np.mean(shares) > 0.995
+
+
 BROKEN = [None, "", "plain words only", "<p>open <b>bold", "</div></p><p>x", "<!-- never closed <p>x</p>", "<script>var a='<p>'", "<p title='a>b'>quoted</p>", "<a href=\"x", "<p>&lt;b&gt; &amp; &#233;&nbsp;x</p>", "<div>" * 3000 + "deep" + "</div>" * 3000, "<ul><li>a<li>b</ul>", "<table><tr><td>a<td>b</table>", "<![CDATA[x<y]]>", "<", "<>"]
 
 
