@@ -8,8 +8,10 @@ language that needs least wins.
 Symbols are the UTF-8 bytes of the lower-cased text; whatever is no letter (ASCII) becomes one space, runs of it too.
 The automata become one dense transition table, and all segments of all documents of a batch walk through it in
 lockstep against all languages at once, so that a very long text is many short lanes and not one long loop. A lane goes
-on to the end of its last phrase, which is where the next one has to begin; lanes that began elsewhere are parsed again
-until all fit together. So the phrases are those of one parse of the whole text, however long they are.
+on to the end of its last phrase, which is where the next one has to begin; lanes that began elsewhere are parsed again.
+Where lanes still do not fit together after a few rounds (repetitive text, whose phrases keep their phase), the longest
+match of every place is taken from matching statistics, in steps linear in the text, and the phrases follow these jumps.
+So the phrases are those of one parse of the whole text, however long they are.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from corpuslab.llm import kernels as K
 from corpuslab.llm.staging import with_body
 
-#: Symbols of a lane.
-SEGMENT = 256
+#: Symbols of a lane, rounds after which lanes have to fit, and symbols of a lane of matching statistics.
+SEGMENT, ROUNDS, STRETCH = 256, 4, 1 << 14
 #: The labelled sample: at most so many whole documents of a language, of so many bytes together (or one).
 LABELLED_DOCUMENTS, LABELLED_BYTES = 60, 32_000
 _SPACE = 32
@@ -76,6 +78,7 @@ class SuffixAutomaton:
                         at = link[at]
                     link[target] = link[new] = copy
             last = new
+        self.link, self.length = link, length
 
 
 class Parser:
@@ -88,9 +91,11 @@ class Parser:
         self.column = np.ones(256, np.uint8)  # 0 stands still, 1 is a symbol that no labelled text has
         self.column[known] = np.arange(2, len(known) + 2)
         width = -(-(len(known) + 2) // 4) * 4
-        tables, self.roots, base = [], [], 0
+        tables, links, lengths, self.roots, base = [], [], [], [], 0
+        self.width = width
         for language in self.languages:
-            states = SuffixAutomaton(labelled[language]).next
+            automaton = SuffixAutomaton(labelled[language])
+            states = automaton.next
             root = base * width
             table = np.empty((len(states), width), np.int32)
             table[:] = root + 2  # the phrase ends, and so does the one of the unknown symbol
@@ -102,9 +107,12 @@ class Parser:
             table[rows, columns] = (base + np.fromiter((t for x in states for t in x.values()), np.int64, len(rows))) * width
             table[:, 0] = (base + np.arange(len(states))) * width
             tables.append(table)
+            links.append((base + np.maximum(0, automaton.link)).astype(np.int32))
+            lengths.append(np.array(automaton.length, np.int32))
             self.roots.append(root)
             base += len(states)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.link, self.length = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (links, lengths))
 
     def _walk(self, column: np.ndarray, root: np.ndarray, begin: np.ndarray, stop: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that begin in [begin, stop) of many lanes, and where the one after them begins; ``end``: of the text."""
@@ -135,6 +143,47 @@ class Parser:
         out[0][order], out[1][order] = count, after
         return out
 
+    def _jumps(self, column: np.ndarray, begin: int, end: int, root: int) -> np.ndarray:
+        """Where a phrase that begins at each place of [begin, end) ends: the longest match, or one unknown symbol.
+
+        Each lane holds the match that begins at ``i`` and ends before ``e``, in ``state``; it goes on by a symbol, or, if
+        that is not known to follow, drops its first one by the automaton's suffix links. So a lane takes two steps a
+        symbol, and one for each symbol of the match that leaves it.
+        """
+        out = np.arange(begin + 1, end + 1)
+        first = np.arange(begin, end, STRETCH)
+        i, e, stop = first.copy(), first.copy(), np.minimum(first + STRETCH, end)
+        home = root // self.width
+        state = np.full(len(first), home, np.int64)
+        while len(i):
+            entry = self.table.take(state * self.width + column[np.minimum(e, end - 1)])
+            on = (e < end) & (entry & 3 == 0)
+            stay = ~on
+            state[on] = entry[on] // self.width
+            e[on] += 1
+            at = i[stay]
+            out[at - begin] = np.maximum(e[stay], at + 1)
+            i[stay] = at + 1
+            e[stay] = np.maximum(e[stay], at + 1)
+            above = self.link[state]
+            shorter = stay & (e - i <= self.length[above])
+            state[shorter] = above[shorter]
+            state[stay & (e == i)] = home
+            live = i < stop
+            if not live.all():
+                i, e, stop, state = i[live], e[live], stop[live], state[live]
+        return out
+
+    def _followed(self, column: np.ndarray, begin: int, end: int, root: int) -> int:
+        """Phrases of [begin, end), jump by jump."""
+        jumps, at, n = self._jumps(column, begin, end, root), begin, 0
+        for low in range(begin, end, 1 << 20):
+            part, high = jumps[low - begin : low - begin + (1 << 20)].tolist(), min(end, low + (1 << 20))
+            while at < high:
+                at = part[at - low]
+                n += 1
+        return n
+
     def phrases(self, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases by row and language."""
         rows, langs = len(offsets) - 1, len(self.languages)
@@ -149,7 +198,9 @@ class Parser:
         begin, stop, end, first = np.tile(start, langs), np.tile(stop, langs), np.tile(end, langs), np.tile(part == 0, langs)
         count, after = np.zeros(langs * lanes, np.int64), np.zeros(langs * lanes, np.int64)
         todo = np.arange(langs * lanes)
-        while len(todo):
+        for _ in range(ROUNDS):
+            if not len(todo):
+                break
             count[todo], after[todo] = self._walk(column, root[todo], begin[todo], stop[todo], end[todo])
             wanted = np.where(first, begin, np.concatenate([begin[:1], after[:-1]]))
             todo = np.flatnonzero(wanted != begin)
@@ -157,6 +208,8 @@ class Parser:
         out = np.zeros((rows, langs))
         for k in range(langs):
             out[:, k] = np.bincount(owner, count[k * lanes : (k + 1) * lanes], minlength=rows)
+        for k, row in sorted({(lane // lanes, owner[lane % lanes]) for lane in todo.tolist()}):
+            out[row, k] = self._followed(column, int(offsets[row]), int(offsets[row + 1]), self.roots[k])
         return out
 
 
