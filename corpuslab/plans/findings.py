@@ -120,9 +120,8 @@ def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SQL_WORDS}, {_SPANS} SELECT DISTINCT a.doc_id, a.start FROM spans a JOIN spans b ON a.doc_id = b.doc_id AND a.rule = 'SHORT' AND b.rule = 'LONG' AND a.start <= b.finish AND b.start <= a.finish")
 def interval_touch_semi(spark: SparkSession, d: str) -> DataFrame:
     found = span_table(spark, d)
-    a, b = found.where("rule = 'SHORT'").alias("a"), found.where("rule = 'LONG'").alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & spans.touches(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))
-    return a.join(b, on, "left_semi").select("doc_id", "start").distinct()
+    touched = spans.span_join(found.where("rule = 'SHORT'"), found.where("rule = 'LONG'"), ["doc_id"], "left_semi", closed=True)
+    return touched.select("doc_id", "start").distinct()
 
 
 @query()
