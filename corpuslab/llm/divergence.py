@@ -10,30 +10,64 @@ All numbers are integers: shares are parts of 10^9, and a pair's value is the su
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.spelling import lowered
 from corpuslab.llm.staging import discard, parallelism, staged
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]"
 SCALE = 1_000_000_000
+#: Characters of a piece of a long text, and terms that a task holds before it passes them on.
+PIECE, HELD = 1 << 20, 400_000
 #: Groups of a block, and terms that a vocabulary chunk has about.
 BLOCK, CHUNK = 32, 4096
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) -> (lang, source, term, n, docs): counted together until ``HELD`` terms are held, then passed on."""
+    term, gap = re.compile(TERM), re.compile(GAP)
+    counts: dict[tuple[str, str], tuple[Counter[str], Counter[str]]] = {}
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in counts.items():
+            rows = pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "docs"])
+            for first in range(0, len(rows), 1 << 16):
+                yield rows.slice(first, 1 << 16)
+        counts.clear()
+
+    for batch in batches:
+        held = 0
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.ascii_lower(batch.column(2)), strict=True):
+            n, docs = counts.setdefault((lang, source), (Counter(), Counter()))
+            text, at, seen = text.as_py(), 0, set()
+            while at < len(text):  # a long text in pieces, cut between terms
+                cut = gap.search(text, at + PIECE)
+                end = cut.start() if cut else len(text)
+                terms = term.findall(text, at, end)
+                n.update(terms)
+                seen.update(terms)
+                at = end
+            docs.update(seen)
+            held += len(seen)
+            if held > HELD // 16:
+                held = 0
+                if sum(len(x) for x, _ in counts.values()) > HELD:
+                    yield from passed()
+    yield from passed()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term in each group; ``docs`` has lang, source, text."""
-    terms = F.regexp_extract_all(lowered(F.col("text")), F.lit(f"({TERM})"))
-    held = docs.select("lang", "source", terms.alias("terms"))
-    # An occurrence has d = 0; each distinct term of a document comes once more with d = 1.
-    marked = F.concat(F.transform("terms", lambda t: F.struct(t.alias("t"), F.lit(0).alias("d"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), F.lit(1).alias("d"))))
-    rows = held.select("lang", "source", F.explode(marked).alias("m")).select("lang", "source", F.col("m.t").alias("term"), F.col("m.d").alias("d"))
-    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("d")).alias("n"), F.sum("d").alias("docs"))
+    """(lang, source, term, n, docs): occurrences and documents of each term in each group; ``docs`` has lang, source, text, no nulls."""
+    partial = docs.select("lang", "source", "text").mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, v: Column) -> Column:

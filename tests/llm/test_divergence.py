@@ -63,3 +63,23 @@ def test_shares_are_exact_for_large_counts(spark):
 def test_query_against_its_twin(spark, data, duck):
     got = divergence.query_divergence(spark, data).toPandas()
     assert_same(got, duck.execute(queries.ORACLE_SQL["op13_tiled_source_divergence"]).df())
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "PIECE", 7)
+    monkeypatch.setattr(divergence, "HELD", 3)
+    texts = ["one Two, three-two é\nx " * 9 + "one", "", "1234567890" * 3, "unbroken" * 9, "a b c d e f g h"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["l"] * 5), pa.array(list("ababa")), pa.array(texts)], ["lang", "source", "text"])
+    n, docs = Counter(), Counter()
+    for out in divergence._counted(iter([batch, batch])):
+        for row in out.to_pylist():
+            n[row["source"], row["term"]] += row["n"]
+            docs[row["source"], row["term"]] += row["docs"]
+    expected, found = Counter(), Counter()
+    for source, text in zip("ababa", texts, strict=True):
+        terms = re.findall(divergence.TERM, text.translate(LOWER))
+        expected.update({(source, t): 2 * k for t, k in Counter(terms).items()})
+        found.update({(source, t): 2 for t in set(terms)})
+    assert n == expected and docs == found
