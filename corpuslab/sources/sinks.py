@@ -1,10 +1,13 @@
-"""Sinks. All go through Spark's commit protocol: a file appears whole or not at all."""
+"""Sinks. All go through Spark's commit protocol: a file appears whole or not at all. Where a job may be killed between
+files, or run twice at once, ``manifests`` publishes whole chunks and runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.sources import manifests
+
 
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
@@ -24,7 +27,8 @@ def word_list(words: DataFrame, path: str, header: str) -> None:
 
 
 def chunks(df: DataFrame, path: str, chunk: str) -> None:
-    """One folder a chunk; only chunks that are not there yet are written, so a rerun resumes."""
+    """One folder a chunk; only chunks that are not there yet are written, so a rerun resumes. A chunk counts as there when
+    it has a file: after a kill in the middle of a commit it may lack others (``manifests.publish`` has no such gap)."""
     spark = df.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
@@ -35,10 +39,13 @@ def chunks(df: DataFrame, path: str, chunk: str) -> None:
 
 
 def cache_fill(wanted: DataFrame, key: str, path: str, compute) -> DataFrame:
-    """Prediction cache: rows of ``wanted`` whose key is not cached are computed and appended; returns the cache."""
+    """Prediction cache: rows of ``wanted`` whose key is not cached are computed and published; returns the cache.
+
+    A killed run leaves nothing that a reader sees, and a key that two runs compute at once is in the cache once."""
     spark = wanted.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        wanted = wanted.join(spark.read.parquet(path).select(key), key, "left_anti")
-    compute(wanted.dropDuplicates([key])).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    known = manifests.manifests(spark, path).select("run").distinct().collect()
+    for r in known:
+        wanted = wanted.join(spark.read.parquet(f"{path}/runs/{r['run']}").select(key), key, "left_anti")
+    computed = compute(wanted.dropDuplicates([key]))
+    manifests.publish(computed, path)
+    return manifests.cached(spark, path, computed.schema, key)
