@@ -9,7 +9,7 @@ Symbols are the UTF-8 bytes of the lower-cased text; whatever is no letter (ASCI
 The automata become one dense transition table, and all segments of all documents of a batch walk through it in
 lockstep against all languages at once, so that a very long text is many short lanes and not one long loop. A lane goes
 on to the end of its last phrase, which is where the next one has to begin; lanes that began elsewhere are parsed again.
-Where lanes still do not fit together after a few rounds (repetitive text, whose phrases keep their phase), the longest
+Where many lanes do not fit together after some rounds (repetitive text, whose phrases keep their phase), the longest
 match of every place is taken from matching statistics, in steps linear in the text, and the phrases follow these jumps.
 So the phrases are those of one parse of the whole text, however long they are.
 """
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from corpuslab.llm import kernels as K
 from corpuslab.llm.staging import with_body
 
-#: Symbols of a lane, rounds after which lanes have to fit, and symbols of a lane of matching statistics.
-SEGMENT, ROUNDS, STRETCH = 256, 4, 1 << 14
+#: Symbols of a lane, how often each lane may be parsed on average before all have to fit, and symbols of a lane of matching statistics.
+SEGMENT, AGAIN, STRETCH = 256, 8, 1 << 12
 #: The labelled sample: at most so many whole documents of a language, of so many bytes together (or one).
 LABELLED_DOCUMENTS, LABELLED_BYTES = 60, 32_000
 _SPACE = 32
@@ -143,46 +143,57 @@ class Parser:
         out[0][order], out[1][order] = count, after
         return out
 
-    def _jumps(self, column: np.ndarray, begin: int, end: int, root: int) -> np.ndarray:
-        """Where a phrase that begins at each place of [begin, end) ends: the longest match, or one unknown symbol.
+    def _jumps(self, column: np.ndarray, begin: np.ndarray, end: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a phrase that begins at each place of the texts [begin, end) ends: the longest match, or one unknown symbol;
+        and where each text begins in the result.
 
-        Each lane holds the match that begins at ``i`` and ends before ``e``, in ``state``; it goes on by a symbol, or, if
+        A lane holds the match that begins at ``i`` and ends before ``e``, in ``state``; it goes on by a symbol, or, if
         that is not known to follow, drops its first one by the automaton's suffix links. So a lane takes two steps a
-        symbol, and one for each symbol of the match that leaves it.
+        symbol, and one for each symbol of the match that leaves it. All lanes of all texts go in lockstep.
         """
-        out = np.arange(begin + 1, end + 1)
-        first = np.arange(begin, end, STRETCH)
-        i, e, stop = first.copy(), first.copy(), np.minimum(first + STRETCH, end)
-        home = root // self.width
-        state = np.full(len(first), home, np.int64)
+        sizes = end - begin
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        lanes = -(-sizes // STRETCH)
+        owner = np.repeat(np.arange(len(begin)), lanes)
+        first = begin[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * STRETCH
+        out = np.zeros(at[-1], np.int64)
+        i, e, last, stop = first.copy(), first.copy(), end[owner], np.minimum(first + STRETCH, end[owner])
+        home, shift = (root[owner] // self.width).astype(np.int64), at[owner] - begin[owner]
+        state = home.copy()
         while len(i):
-            entry = self.table.take(state * self.width + column[np.minimum(e, end - 1)])
-            on = (e < end) & (entry & 3 == 0)
+            entry = self.table.take(state * self.width + column[np.minimum(e, last - 1)])
+            on = (e < last) & (entry & 3 == 0)
             stay = ~on
             state[on] = entry[on] // self.width
             e[on] += 1
-            at = i[stay]
-            out[at - begin] = np.maximum(e[stay], at + 1)
-            i[stay] = at + 1
-            e[stay] = np.maximum(e[stay], at + 1)
+            here = i[stay]
+            out[here + shift[stay]] = np.maximum(e[stay], here + 1)
+            i[stay] = here + 1
+            e[stay] = np.maximum(e[stay], here + 1)
             above = self.link[state]
             shorter = stay & (e - i <= self.length[above])
             state[shorter] = above[shorter]
-            state[stay & (e == i)] = home
+            alone = stay & (e == i)
+            state[alone] = home[alone]
             live = i < stop
             if not live.all():
-                i, e, stop, state = i[live], e[live], stop[live], state[live]
-        return out
+                i, e, last, stop, home, shift, state = (x[live] for x in (i, e, last, stop, home, shift, state))
+        return out, at
 
-    def _followed(self, column: np.ndarray, begin: int, end: int, root: int) -> int:
-        """Phrases of [begin, end), jump by jump."""
-        jumps, at, n = self._jumps(column, begin, end, root), begin, 0
-        for low in range(begin, end, 1 << 20):
-            part, high = jumps[low - begin : low - begin + (1 << 20)].tolist(), min(end, low + (1 << 20))
-            while at < high:
-                at = part[at - low]
-                n += 1
-        return n
+    def _followed(self, column: np.ndarray, begin: np.ndarray, end: np.ndarray, root: np.ndarray) -> list[int]:
+        """Phrases of each text, jump by jump."""
+        jumps, at = self._jumps(column, begin, end, root)
+        counts = []
+        for k in range(len(begin)):
+            place, n, size = 0, 0, int(end[k] - begin[k])
+            for low in range(0, size, 1 << 20):
+                high = min(size, low + (1 << 20))
+                part = (jumps[at[k] + low : at[k] + high] - begin[k]).tolist()
+                while place < high:
+                    place = part[place - low]
+                    n += 1
+            counts.append(n)
+        return counts
 
     def phrases(self, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases by row and language."""
@@ -198,9 +209,9 @@ class Parser:
         begin, stop, end, first = np.tile(start, langs), np.tile(stop, langs), np.tile(end, langs), np.tile(part == 0, langs)
         count, after = np.zeros(langs * lanes, np.int64), np.zeros(langs * lanes, np.int64)
         todo = np.arange(langs * lanes)
-        for _ in range(ROUNDS):
-            if not len(todo):
-                break
+        spent = 0
+        while len(todo) and spent <= AGAIN * len(begin):
+            spent += len(todo)
             count[todo], after[todo] = self._walk(column, root[todo], begin[todo], stop[todo], end[todo])
             wanted = np.where(first, begin, np.concatenate([begin[:1], after[:-1]]))
             todo = np.flatnonzero(wanted != begin)
@@ -208,8 +219,10 @@ class Parser:
         out = np.zeros((rows, langs))
         for k in range(langs):
             out[:, k] = np.bincount(owner, count[k * lanes : (k + 1) * lanes], minlength=rows)
-        for k, row in sorted({(lane // lanes, owner[lane % lanes]) for lane in todo.tolist()}):
-            out[row, k] = self._followed(column, int(offsets[row]), int(offsets[row + 1]), self.roots[k])
+        left = sorted({(lane // lanes, owner[lane % lanes]) for lane in todo.tolist()})
+        if left:
+            k, row = np.array(left).T
+            out[row, k] = self._followed(column, offsets[row], offsets[row + 1], np.array(self.roots)[k])
         return out
 
 
