@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.functions.once import computed
 from corpuslab.operators import morphology
 
 #: Tags by part of speech. Short adjectives (J) are adjectives to their neighbours, short participles (S) verbs.
@@ -69,14 +70,10 @@ def matched(units: DataFrame, tags: str, patterns: dict[str, str], overlapping:
 def word_tags(units: DataFrame, tags: str) -> DataFrame:
     """One row a word: the other columns, ``at`` (from 0), ``tag``, and the tags ``before`` and ``after`` it, ``REACH`` at most."""
     keep = [c for c in units.columns if c != tags]
-    size = F.length(tags)
-    around = lambda i: F.struct(
-        i.alias("at"),
-        F.substr(F.col(tags), i + 1, F.lit(1)).alias("tag"),
-        F.substr(F.col(tags), F.greatest(i - REACH + 1, F.lit(1)), F.least(i, F.lit(REACH))).alias("before"),
-        F.substr(F.col(tags), i + 2, F.lit(REACH)).alias("after"),
-    )
-    rows = units.where(size > 0).select(*keep, F.explode(F.transform(F.sequence(F.lit(0), size - 1), around)).alias("_w"))
+    rows = computed(units.where(F.length(tags) > 0), _t=F.split(F.col(tags), ""))
+    piece = lambda first, size: F.array_join(F.slice("_t", first, size), "")
+    around = lambda t, i: F.struct(i.alias("at"), t.alias("tag"), piece(F.greatest(i - REACH + 1, F.lit(1)), F.least(i, F.lit(REACH))).alias("before"), piece(i + 2, F.lit(REACH)).alias("after"))
+    rows = rows.select(*keep, F.explode(F.transform("_t", around)).alias("_w"))
     return rows.select(*keep, "_w.*")
 
 

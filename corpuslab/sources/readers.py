@@ -231,3 +231,32 @@ def evaluation_keys(frames: list[DataFrame], columns: list[str]) -> DataFrame:
 
 def json_field(column: Column | str, name: str) -> Column:
     return F.get_json_object(column, f"$.{name}")
+
+
+def benchmark_items(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Items of a public benchmark, one file of JSON lines a split: (split, doc, src, gold, raw, disputed); nothing is disputed."""
+    out = None
+    for split, path in paths.items():
+        rows = json_lines(spark, path, "src string, gold string, doc string")
+        part = rows.select(F.lit(split).alias("split"), "doc", "src", "gold", F.col("src").alias("raw"), F.array().cast("array<string>").alias("disputed"))
+        out = part if out is None else out.union(part)
+    if out is None:
+        raise ValueError("no files of a benchmark")
+    return out
+
+
+#: Forms of a document that can be edited come before those that only show it.
+EDITABLE = ["docx", "odt", "doc", "txt", "html", "pdf"]
+
+
+def editable_first(files: DataFrame, key: str, path: str) -> DataFrame:
+    """One file a document (``key``): the one that can best be edited, by its extension; ties by the path. Others are left out."""
+    place = F.array_position(F.array(*[F.lit(x) for x in EDITABLE]), F.lower(F.regexp_extract(path, r"\.(\w+)$", 1)))
+    rows = files.withColumn("_place", place).where("_place > 0")
+    return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in files.columns if c != key]), F.struct("_place", path)).alias("_f")).select(key, "_f.*")
+
+
+def folder_size(spark: SparkSession, path: str) -> DataFrame:
+    """(n_files, n_bytes) of all files below a folder; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
