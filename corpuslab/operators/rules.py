@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import cleaning as C
 from corpuslab.functions import text as T
+from corpuslab.functions.once import computed
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,7 @@ class Rule:
     pattern: str
     fix: str | None
     outside_quotes: bool = False
-    script: str | None = None  # letters without which the pattern cannot match
+    script: str | None = None  # a look for what the pattern cannot match without
 
 
 #: Runs of marks that no text needs.
@@ -38,7 +39,7 @@ LEVELS = {"strict": 1, "check": 2, "error": 3}
 #: Language-neutral rules.
 NEUTRAL = [
     Rule("DOUBLE_WORD", "error", r"(?iU)\b(\p{L}{2,}) \1\b", "$1"),
-    Rule("GLUED_DIGIT", "error", r"(?<![\p{L}\p{N}])(\p{L}{3,})(\d+)(?![\p{L}\p{N}])", "$1 $2"),
+    Rule("GLUED_DIGIT", "error", r"(?<![\p{L}\p{N}])(\p{L}{3,})(\d+)(?![\p{L}\p{N}])", "$1 $2", script=r"\p{L}\d"),
     Rule("DOUBLE_SPACE", "check", r"(?<=\S)  +(?=\S)", " "),
     Rule("SPACE_BEFORE_MARK", "check", r"(?<=\p{L}) +([,.;])", "$1"),
 ]
@@ -59,20 +60,25 @@ RUSSIAN = [replace(rule, script="[А-Яа-яЁё]") for rule in RUSSIAN]
 LATIN_LIKE, CYRILLIC_LIKE = "aceopxyABCEHKMOPTX", "асеорхуАВСЕНКМОРТХ"
 
 
+def _starts(parts: pa.Array, hits: pa.Array) -> pa.Array:
+    """From the lengths of the parts between matches and of the matches, where each match starts."""
+    n = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (parts, hits)]
+    part, hit = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (parts, hits))
+    row = np.repeat(np.arange(len(n[1])), n[1])
+    within = np.arange(len(hit)) - np.repeat(np.cumsum(n[1]) - n[1], n[1])
+    first = (np.cumsum(n[0]) - n[0])[row]  # the part before the first match of the row
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (part, hit)]
+    start = sums[0][first + within + 1] - sums[0][first] + sums[1][np.arange(len(hit))] - sums[1][np.arange(len(hit)) - within]
+    offsets = np.concatenate([[0], np.cumsum(n[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(start.astype(np.int32)))
+
+
 @lru_cache(maxsize=1)
 def _places() -> Callable[[Column, Column], Column]:
-    """Arrow function: from the lengths of the parts between matches and of the matches, where each match starts."""
+    """Arrow function over :func:`_starts`."""
 
     def run(parts: pa.Array, hits: pa.Array) -> pa.Array:
-        n = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (parts, hits)]
-        part, hit = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (parts, hits))
-        row = np.repeat(np.arange(len(n[1])), n[1])
-        within = np.arange(len(hit)) - np.repeat(np.cumsum(n[1]) - n[1], n[1])
-        first = (np.cumsum(n[0]) - n[0])[row]  # the part before the first match of the row
-        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (part, hit)]
-        start = sums[0][first + within + 1] - sums[0][first] + sums[1][np.arange(len(hit))] - sums[1][np.arange(len(hit)) - within]
-        offsets = np.concatenate([[0], np.cumsum(n[1])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(start.astype(np.int32)))
+        return _starts(parts, hits)
 
     return F.arrow_udf(run, "array<int>")
 
@@ -82,11 +88,11 @@ def applies(text: Column, rule: Rule) -> Column:
     return text.rlike(rule.pattern) if rule.script is None else text.rlike(rule.script) & text.rlike(rule.pattern)
 
 
-def _any(text: Column, rules: list[Rule]) -> Column:
-    out = F.lit(False)
-    for rule in rules:
-        out = out | applies(text, rule)
-    return out
+def _fix(rule: Rule) -> Callable[[Column], Column]:
+    """What replaces a match."""
+    if rule.fix is None:
+        return lambda h: F.lit(None).cast("string")
+    return (lambda h: F.regexp_replace(h, _bare(rule.pattern), rule.fix)) if "$" in rule.fix else (lambda h: F.lit(rule.fix))
 
 
 def pattern_spans(text: Column, rule: Rule) -> Column:
@@ -98,16 +104,56 @@ def pattern_spans(text: Column, rule: Rule) -> Column:
     length = lambda x: F.length(x)
     starts = _places()(F.transform(F.when(some, F.split(text, rule.pattern, -1)).otherwise(none), length), F.transform(F.when(some, every).otherwise(none), length))
     hits = F.when(F.size(starts) > 0, every).otherwise(none)
-    fix = lambda h: F.lit(None).cast("string") if rule.fix is None else F.lit(rule.fix) if "$" not in rule.fix else F.regexp_replace(h, _bare(rule.pattern), rule.fix)
+    fix = _fix(rule)
     one = lambda h, a: F.struct(a.alias("start"), (a + F.length(h)).cast("int").alias("end"), F.lit(LEVELS[rule.level]).alias("rank"), F.lit(rule.name).alias("rule"), fix(h).alias("fix"))
     return F.zip_with(hits, starts, one)
 
 
+@lru_cache(maxsize=1)
+def _all_places() -> Callable[[Column, Column], Column]:
+    """The same for the lists of several rules at once: one call a row, whatever the number of rules."""
+
+    def run(parts: pa.Array, hits: pa.Array) -> pa.Array:
+        flat = _starts(parts.flatten(), hits.flatten())
+        sizes = pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+
+    return F.arrow_udf(run, "array<array<int>>")
+
+
+def _hits(text: Column, rules: list[Rule]) -> Column:
+    """Array of (k, parts, hits, fixes) of the rules that apply: lengths of what stands between the matches, the matches, and
+    their fixes. Each rule looks at the text once; only one that has a match takes it apart."""
+    kind = "array<struct<k:int,parts:array<int>,hits:array<string>,fixes:array<string>>>"
+    groups: dict[str | None, list[Column]] = {}
+    for k, rule in enumerate(rules):
+        every = F.regexp_extract_all(text, F.lit(rule.pattern), 0)
+        lengths = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
+        one = F.struct(F.lit(k).alias("k"), lengths.alias("parts"), every.alias("hits"), F.transform(every, _fix(rule)).alias("fixes"))
+        groups.setdefault(rule.script, []).append(F.when(text.rlike(rule.pattern), one))
+    # Rules that need the same letters are behind one look for them.
+    none = F.array().cast(kind)
+    some = [F.array_compact(F.array(*own)) for own in groups.values()]
+    return F.concat(*[x if script is None else F.when(text.rlike(script), x).otherwise(none) for script, x in zip(groups, some, strict=True)])
+
+
+def _findings(rows: DataFrame, keep: list[str], rules: list[Rule]) -> DataFrame:
+    """Rows with ``_m`` (see :func:`_hits`) as findings, one row each; of ``_quotes``, where it is, rules that look outside of quotes leave out what begins in one."""
+    starts = _all_places()(F.col("_m.parts"), F.transform("_m.hits", lambda h: F.transform(h, lambda x: F.length(x))))
+    of = lambda values: lambda k: F.get(F.array(*[F.lit(v) for v in values]), k)
+    rank, name, outside = of([LEVELS[r.level] for r in rules]), of([r.name for r in rules]), of([r.outside_quotes for r in rules])
+    one = lambda m: lambda h, a: F.struct(a.alias("start"), (a + F.length(h["hits"])).cast("int").alias("end"), rank(m["k"]).alias("rank"), name(m["k"]).alias("rule"), h["fixes"].alias("fix"))
+    found = F.zip_with("_m", "_at", lambda m, at: F.zip_with(F.arrays_zip(m["hits"].alias("hits"), m["fixes"].alias("fixes")), at, one(m)))
+    if "_quotes" in rows.columns:
+        free = lambda f: ~F.exists("_quotes", lambda q: (q["start"] <= f["start"]) & (f["start"] < q["end"]))
+        found = F.zip_with("_m", found, lambda m, x: F.when(outside(m["k"]), F.filter(x, free)).otherwise(x))
+    return rows.withColumn("_at", starts).select(*keep, F.explode(F.flatten(found)).alias("_f")).select(*keep, "_f.*")
+
+
 def pattern_findings(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     """One row a match: the columns of ``df`` without the text, then start, end, rank, rule and fix. One pass over the rows for all rules."""
     keep = [c for c in df.columns if c != text]
-    found = F.concat(*[pattern_spans(F.col(text), rule) for rule in rules])
-    return df.where(_any(F.col(text), rules)).select(*keep, F.explode(found).alias("_f")).select(*keep, "_f.*")
+    return _findings(computed(df, _m=_hits(F.col(text), rules)).where("size(_m) > 0"), keep, rules)
 
 
 def _bare(pattern: str) -> str:
@@ -135,16 +181,11 @@ def double_words(words: Column) -> Column:
 
 def guarded_findings(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     """Findings of a pack, without any in a bibliography entry, nor those in quotes of rules that look outside them only."""
-    found = [pattern_spans(F.col(text), rule) for rule in rules]
     keep = [c for c in df.columns if c != text]
-    if not any(rule.outside_quotes for rule in rules):
-        rows = df.where(_any(F.col(text), rules) & ~C.bibliography(F.col(text))).select(*keep, F.explode(F.concat(*found)).alias("_f"))
-        return rows.select(*keep, "_f.*")
-    quotes = pattern_spans(F.col(text), Rule("QUOTED", "check", C.QUOTED, None))
-    free = lambda f: ~F.exists("_quotes", lambda q: (q["start"] <= f["start"]) & (f["start"] < q["end"]))
-    rows = df.where(_any(F.col(text), rules) & ~C.bibliography(F.col(text))).select(*keep, quotes.alias("_quotes"), *[x.alias(f"_{k}") for k, x in enumerate(found)])
-    parts = [F.filter(f"_{k}", free) if rule.outside_quotes else F.col(f"_{k}") for k, rule in enumerate(rules)]
-    return rows.select(*keep, F.explode(F.concat(*parts)).alias("_f")).select(*keep, "_f.*")
+    rows = computed(df, _m=_hits(F.col(text), rules)).where((F.size("_m") > 0) & ~C.bibliography(F.col(text)))
+    if any(rule.outside_quotes for rule in rules):
+        rows = rows.withColumn("_quotes", pattern_spans(F.col(text), Rule("QUOTED", "check", C.QUOTED, None)))
+    return _findings(rows, keep, rules)
 
 
 def hard_sign(words: DataFrame, lexicon: DataFrame) -> DataFrame:
