@@ -276,7 +276,8 @@ def identify(docs: DataFrame, parser: Parser, text: str = "text", carry: list[st
     """The ``carry`` columns with ``lang_pred`` (``und`` for a null text and one without a letter) and ``score``, the
     share of the winner if each language had the probability 2 to the minus its parse's bits.
 
-    Ties go to the first language by name; repeated rows get the same answer; an empty table gives an empty result.
+    Ties go to the first language by name; repeated rows get the same answer; an empty table gives an empty result;
+    own columns named ``lang_pred`` or ``score`` are replaced.
     """
     carry = [c for c in docs.columns if c not in (text, "lang_pred", "score")] if carry is None else carry
     rows = with_body(docs, carry, text)

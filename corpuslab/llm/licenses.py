@@ -215,7 +215,8 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, te
     """The ``carry`` columns and ``column``: array of (license, start, end, matched, coverage), by start.
 
     ``start`` and ``end`` are UTF-8 byte offsets; a template counts from ``least`` of its words on. Null and empty
-    texts have none; repeated rows get the same answer.
+    texts have none; repeated rows get the same answer; of overlapping matches the longer one stays; an empty table gives
+    an empty result; an own column named like ``column`` is replaced.
     """
     carry = [c for c in docs.columns if c not in (text, column)] if carry is None else carry
     rows = with_body(docs, carry, text)

@@ -167,7 +167,11 @@ def _score(shared, n_carry: int, names: list[str]):
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None, column: str = "score") -> DataFrame:
-    """The ``carry`` columns (default: all but the text) with ``score`` from 0 to 1 in ``column``; empty and null texts are one empty passage."""
+    """The ``carry`` columns (default: all but the text) with ``score`` from 0 to 1 in ``column``; empty and null texts are one empty passage.
+
+    A score of exactly one half counts for label 1; repeated rows get the same score; an empty table gives an empty
+    result; an own column named like ``column`` is replaced.
+    """
     carry = [c for c in docs.columns if c not in (text, column)] if carry is None else carry
     rows = with_body(docs, carry, text)
     schema = docs.select(*[f"`{c}`" for c in carry], F.lit(0.0).alias(column)).schema
