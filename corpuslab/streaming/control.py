@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
+from corpuslab.operators import spans
+from corpuslab.operators.rules import LEVELS
 from corpuslab.operators.stages import FINDINGS, Stage, run_stage
 from corpuslab.sources import manifests
 
@@ -124,6 +126,20 @@ def results(rows: DataFrame, path: str) -> DataFrame:
     return manifests.published(rows.sparkSession, f"{path}/findings", CHUNKED, "batch").drop("batch")
 
 
+def checked(rows: DataFrame, stages: list[Stage], path: str, **options) -> DataFrame | None:
+    """The whole check in one call: all stages over rows (idx, text), and the findings of each row merged by level: (idx, start,
+    end, rank, rule, fix). Of what overlaps the surer level stays, then the earlier stage's. None if it was stopped; a later
+    call with the same path goes on. Hidden levels (candidate) take no part; other options are those of :func:`run_controlled`."""
+    if not run_controlled(rows, stages, path, **options):
+        return None
+    level = F.create_map(*[x for name, k in LEVELS.items() for x in (F.lit(name), F.lit(k))])[F.col("level")]
+    place = F.create_map(*[x for k, s in enumerate(stages) for x in (F.lit(s.name), F.lit(len(stages) - k))])[F.col("stage")]
+    found = results(rows, path).withColumn("rank", (level * (len(stages) + 1) + place).cast("int")).where("rank is not null")
+    one = F.struct("start", "end", "rank", "rule", "fix")
+    merged_ = spans.merged(found.groupBy("idx").agg(F.collect_list(one).alias("found")), "found").select("idx", F.explode("found").alias("f")).select("idx", "f.*")
+    return merged_.withColumn("rank", F.floor(F.col("rank") / (len(stages) + 1)).cast("int"))
+
+
 class Rates(StreamingQueryListener):
     """Listens to the streams of a session: batches, rows and seconds of each query, by its id."""
 

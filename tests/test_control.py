@@ -119,6 +119,19 @@ def test_stop_and_resume_give_the_findings_of_one_run(spark, tmp_path):
     assert control.run_controlled(rows, [letter("a")], path, 10, lambda: True)  # nothing left, nothing asked
 
 
+def test_the_whole_check_in_one_call(spark, tmp_path):
+    def finds(*found):
+        return lambda: lambda t: found if "x" in t else []
+
+    rows = spark.createDataFrame([(0, "x 123456789"), (1, "y"), (2, None)], "idx bigint, text string")
+    two = [stages.Stage("rules", 0.1, finds((0, 4, "check", "A", "a", None), (5, 6, "error", "B", "b", None))), stages.Stage("model", 0.1, finds((2, 6, "error", "C", "c", 0.9), (0, 3, "check", "D", "d", 0.5), (8, 9, "candidate", "E", "e", 0.5), (9, 9, "strict", "F", "f", None)))]
+    path = str(tmp_path / "whole")
+    assert control.checked(rows, two, path, should_stop=lambda: True) is None
+    got = control.checked(rows, two, path).collect()
+    # of two errors that overlap the earlier stage's stays, and so of two checks
+    assert sorted((r["idx"], r["start"], r["rule"], r["rank"]) for r in got) == [(0, 0, "A", 2), (0, 5, "B", 3), (0, 9, "F", 1)]
+
+
 def test_time_left():
     now = [0.0]
     p = control.Progress(10, {"rules": 0.003, "model": 0.1, "big": 0.5}, {"big": 2}, clock=lambda: now[0])

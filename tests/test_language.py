@@ -184,3 +184,27 @@ def test_very_many_fragments(spark):
     f = spark.range(100_000).select(F.col("id").alias("fragment_no"), F.array(F.concat(F.lit("w"), (F.col("id") % 1000).cast("string")), F.concat(F.lit("x"), F.floor(F.col("id") / 1000).cast("string"))).alias("fragment"))
     pairs = Counter(zip(text[::2], text[1::2], strict=True))
     assert fragments.occurrences(d, f, "w", "fragment").count() == sum(n for (w, x), n in pairs.items() if int(w[1:]) < 1000 and int(x[1:]) < 100)
+
+
+def test_rules_against_errors_that_were_made(spark, tmp_path):
+    """Each gold error and each finding is looked for anew, word by word."""
+    from corpuslab.plans import language
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["aa", "bb", "Cc", "d1", "x", "abc12"]) for _ in range(rng.randint(1, 12))) + ".", "en", "s", 0) for i in range(200)] + [(900, None, "en", "s", 0), (901, "", "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    units = language.units_with_errors(spark, str(tmp_path))
+    made, gold = language.doubled(units, ["doc_id", "para_no", "sent_no"], 0.33, "double")
+    bad = {r["doc_id"]: (r["bad"], r["sentence"]) for r in made.collect()}
+    expected = Counter()
+    for r in gold.collect():
+        text, before = bad[r["doc_id"]]
+        assert text[: r["start"]] + r["fix"] + text[r["end"] :] == before and text[r["start"] : r["end"]] == f"{r['fix']} {r['fix']}"
+        hits = [m.span() for m in re.finditer(r"(?i)\b([^\W\d_]{2,}) \1\b", text)]
+        exact = any(h == (r["start"], r["end"]) for h in hits)
+        over = any(h[0] < r["end"] and r["start"] < h[1] for h in hits)
+        expected["DOUBLE_WORD", "exact" if exact else "place" if over else "missed"] += 1
+        expected["DOUBLE_WORD", "false"] += sum(not (h[0] < r["end"] and r["start"] < h[1]) for h in hits)
+        expected["GLUED_DIGIT", "false"] += len(re.findall(r"\babc12\b", text))
+    got = {(r["rule"], r["verdict"]): r["n"] for r in language.rules_against_gold(spark, str(tmp_path)).collect()}
+    assert got == {k: n for k, n in expected.items() if n} and got["DOUBLE_WORD", "exact"] > 30
