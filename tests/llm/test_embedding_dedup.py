@@ -62,3 +62,17 @@ def test_very_large_and_very_small_components(spark):
     rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1.01e200], 0), (3, [1e-200, 1e-200], 0), (4, [-1e200, 1e200], 0)]
     out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
     assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_a_large_label_is_never_written_as_many_copies(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 64))
+    rows = [(i, [float(np.float32(c)) for c in base[i // 2] + rng.normal(size=64) * 0.1 * (i % 2)], 0) for i in range(600)]
+    written, staged = [], E.staged
+    monkeypatch.setattr(E, "staged", lambda df, name: written.append((name, staged(df, name))) or written[-1][1])
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(df, cell=50).collect()}
+    assert out == brute(rows) and sum(n for n, _ in out.values()) > 500
+    held = [t.count() for name, t in written if name in ("vec-nodes", "vec-dealt", "vec-links")]
+    assert max(held) <= 2 * len(rows)  # by grids of eight blocks a vector was written some hundred times
+    assert len(held) > 6  # the comparisons came in slices
